@@ -17,15 +17,34 @@ from tickloom.operators.series import ROWS_PER_SLICE, signed_delta
 from tickloom.operators.tables import enforce_schema, execution_costs, lookup_join
 
 # Columns and types of the fills table.
-FILLS_SCHEMA = T.StructType.fromDDL(
-    """
-    trade_id INT, trader STRING, desk STRING, event_ts TIMESTAMP, symbol STRING, security_name STRING,
-    sector_gics STRING, side STRING, order_type STRING, order_qty INT, order_status STRING,
-    limit_price FLOAT, qty INT, price FLOAT, trade_value FLOAT, commission FLOAT, exec_venue STRING,
-    venue_fee FLOAT, bid_price FLOAT, ask_price FLOAT, mid_price FLOAT, spread_price FLOAT,
-    high_day FLOAT, low_day FLOAT, fund STRING, benchmark_index STRING
-    """
-)
+FILLS_SCHEMA = T.StructType([
+    T.StructField("trade_id", T.IntegerType()),
+    T.StructField("trader", T.StringType()),
+    T.StructField("desk", T.StringType()),
+    T.StructField("event_ts", T.TimestampType()),
+    T.StructField("symbol", T.StringType()),
+    T.StructField("security_name", T.StringType()),
+    T.StructField("sector_gics", T.StringType()),
+    T.StructField("side", T.StringType()),
+    T.StructField("order_type", T.StringType()),
+    T.StructField("order_qty", T.IntegerType()),
+    T.StructField("order_status", T.StringType()),
+    T.StructField("limit_price", T.FloatType()),
+    T.StructField("qty", T.IntegerType()),
+    T.StructField("price", T.FloatType()),
+    T.StructField("trade_value", T.FloatType()),
+    T.StructField("commission", T.FloatType()),
+    T.StructField("exec_venue", T.StringType()),
+    T.StructField("venue_fee", T.FloatType()),
+    T.StructField("bid_price", T.FloatType()),
+    T.StructField("ask_price", T.FloatType()),
+    T.StructField("mid_price", T.FloatType()),
+    T.StructField("spread_price", T.FloatType()),
+    T.StructField("high_day", T.FloatType()),
+    T.StructField("low_day", T.FloatType()),
+    T.StructField("fund", T.StringType()),
+    T.StructField("benchmark_index", T.StringType()),
+])
 # Weights of 1 to 10 child orders a day, order types, and statuses with their weights.
 SLICE_WEIGHTS = (1, 2, 4, 7, 10, 14, 18, 20, 14, 10)
 ORDER_TYPES = ("LIMIT", "MARKET", "ICEBERG", "FOK", "IOC")

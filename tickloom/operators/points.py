@@ -86,8 +86,13 @@ def pivot_fields(
     return points.groupBy(*row_key).agg(*[cell(n) for n in names])
 
 
+def mean(c: Column) -> Column:
+    """Sum over count, which keeps the sum of decimals exact."""
+    return F.try_divide(F.sum(c).cast("double"), F.count(c).cast("double"))
+
+
 WINDOW_FUNCTIONS: dict[str, Callable[[Column], Column]] = {
-    "mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "count": F.count,
+    "mean": mean, "sum": F.sum, "min": F.min, "max": F.max, "count": F.count,
 }
 
 

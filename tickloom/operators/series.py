@@ -171,7 +171,7 @@ def rolling_mean(
     def smooth(frame: DataFrame, partition: Sequence[str], by: Sequence[str]) -> Column:
         last = Window.partitionBy(*partition).orderBy(*by).rowsBetween(-(window - 1), 0)
         full = F.count(F.col(value)).over(last) == window
-        return F.when(full, F.avg(F.col(value)).over(last)).otherwise(F.lit(0.0)).alias(name)
+        return F.when(full, F.sum(F.col(value)).over(last).cast("double") / F.lit(window)).otherwise(F.lit(0.0)).alias(name)
 
     short = cut.filter(~F.col("__is_long")).select(*df.columns)
     short = short.select(*df.columns, smooth(short, keys, order))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.operators.points import mean as mean_of
+
 
 def value_shares(df: DataFrame, name: str, categories: DataFrame | None = None, digits: int = 4) -> DataFrame:
     """Rows per value and their percentage of all rows.
@@ -37,7 +39,7 @@ def summary(df: DataFrame, ts: str, mean: Sequence[str] = (), total: Sequence[st
         F.count(F.lit(1)).alias("rows"),
         F.min(ts).alias("first"),
         F.max(ts).alias("last"),
-        *[F.avg(c).alias(f"mean_{c}") for c in mean],
+        *[mean_of(F.col(c)).alias(f"mean_{c}") for c in mean],
         *[F.sum(c).alias(f"total_{c}") for c in total],
     )
 

@@ -51,17 +51,21 @@ def execution_costs(
     venue: str = "exec_venue",
     default_commission: float = 0.001,
     default_fee: float = 0.0005,
+    digits: int | None = 4,
 ) -> DataFrame:
-    """Add trade_value, commission and venue_fee; the rate tables have the key column and ``rate``."""
+    """Add trade_value, commission and venue_fee; the rate tables have the key column and ``rate``.
+
+    The fees are rounded to ``digits``, or not at all without.
+    """
     first = lookup_join(df, trader_rates.withColumnRenamed("rate", "__commission"), trader,
                         {"__commission": default_commission})
     both = lookup_join(first, venue_rates.withColumnRenamed("rate", "__fee"), venue, {"__fee": default_fee})
     value = F.col(qty) * F.col(price)
+    fees = {"commission": value * F.col("__commission"), "venue_fee": value * F.col("__fee")}
     return both.select(
         *df.columns,
         value.alias("trade_value"),
-        F.round(value * F.col("__commission"), 4).alias("commission"),
-        F.round(value * F.col("__fee"), 4).alias("venue_fee"),
+        *[(fee if digits is None else F.round(fee, digits)).alias(name) for name, fee in fees.items()],
     )
 
 

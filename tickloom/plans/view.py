@@ -268,7 +268,10 @@ def view(
         for v in values:
             mine = F.col("__s").isNull() if v is None else F.col("__s") == F.lit(v)
             for i, m in enumerate(measures):
-                cells.append(F.max(F.when(mine, F.col(f"__m{i}"))).alias(f"{_label(v)}|{m.column}"))
+                cell = F.max(F.when(mine, F.col(f"__m{i}")))
+                # A group without rows for a value counts 0 of them; its other cells are null.
+                cell = F.coalesce(cell, F.lit(0)) if m.how == "count" else cell
+                cells.append(cell.alias(f"{_label(v)}|{m.column}"))
         result = result.groupBy(LEVEL, *keys).agg(*cells) if cells else result.select(LEVEL, *keys).distinct()
         shown = [f"{_label(v)}|{m.column}" for v in values for m in measures]
         result = result.select(LEVEL, *keys, *[q(c) for c in shown])

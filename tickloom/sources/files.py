@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.functions.scalars import slug, to_int_fill, to_numeric_coerce
+from tickloom.functions.scalars import NUMBER_PATTERN, slug, to_int_fill, to_numeric_coerce
 
 TIMESTAMP_PATTERN = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
@@ -17,31 +17,56 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_csv_typed(
+def _typed(field: T.StructField, timestamp_format: str | None, date_format: str | None) -> Column:
+    """A text column in its declared type, null where the text does not fit."""
+    text, kind = F.col(field.name), field.dataType
+    if isinstance(kind, T.StringType):
+        return text
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        special = F.lower(F.trim(text)).isin("nan", "inf", "+inf", "-inf", "infinity", "-infinity")
+        return F.when(text.rlike(NUMBER_PATTERN) | special, F.trim(text).try_cast(kind))
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)) and timestamp_format:
+        return F.try_to_timestamp(text, F.lit(timestamp_format)).cast(kind)
+    if isinstance(kind, T.DateType) and date_format:
+        return F.try_to_timestamp(text, F.lit(date_format)).cast(kind)
+    return F.trim(text).try_cast(kind)
+
+
+def read_csv_checked(
     spark: SparkSession,
     path: str,
     schema: T.StructType,
     sep: str = ",",
     timestamp_format: str | None = None,
     date_format: str | None = None,
-    rejects: str | None = None,
+    flag: str = "rejected",
 ) -> DataFrame:
-    """CSV with a header and declared types; gzip is recognised by its file name.
+    """CSV with a header as declared types and a flag on rows with a value that does not fit.
 
-    A row with a value that does not fit its type is dropped, whichever columns the query reads. With
-    ``rejects`` such rows are kept, their text in a column of that name.
+    The file is read as text and converted here: Spark's own check looks only at the columns a query
+    uses, so whether a row counts as bad would depend on the query. gzip is recognised by file name.
     """
-    # With column pruning a bad value in a column the query leaves out would go unnoticed.
-    spark.conf.set("spark.sql.csv.parser.columnPruning.enabled", "false")
-    reader = spark.read.option("header", "true").option("sep", sep)
-    if timestamp_format:
-        reader = reader.option("timestampFormat", timestamp_format).option("timestampNTZFormat", timestamp_format)
-    if date_format:
-        reader = reader.option("dateFormat", date_format)
-    if rejects:
-        wide = T.StructType([*schema.fields, T.StructField(rejects, T.StringType())])
-        return reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", rejects).schema(wide).csv(path)
-    return reader.option("mode", "DROPMALFORMED").schema(schema).csv(path)
+    text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
+    reader = spark.read.option("header", "true").option("sep", sep).option("mode", "DROPMALFORMED")
+    raw = reader.schema(text).csv(path)
+    bad = F.lit(False)
+    for field in schema.fields:
+        bad = bad | (F.col(field.name).isNotNull() & _typed(field, timestamp_format, date_format).isNull())
+    columns = [_typed(f, timestamp_format, date_format).alias(f.name) for f in schema.fields]
+    return raw.select(*columns, bad.alias(flag))
+
+
+def read_csv_typed(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    sep: str = ",",
+    timestamp_format: str | None = None,
+    date_format: str | None = None,
+) -> DataFrame:
+    """CSV with a header and declared types; a row with a value that does not fit is left out."""
+    rows = read_csv_checked(spark, path, schema, sep, timestamp_format, date_format, "__rejected")
+    return rows.filter(~F.col("__rejected")).drop("__rejected")
 
 
 # The key of the daily series in a provider's document and its fields, in their order.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -23,6 +24,8 @@ def mask_outages_stream(
     schema = T.StructType([*stream.schema.fields, T.StructField(status, T.StringType())])
 
     def mask(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        # Spark joins result frames with a pandas call that warns about all-null columns.
+        warnings.simplefilter("ignore", FutureWarning)
         rows = pd.concat(list(frames)).sort_values(list(order))
         start = state.get[0] if state.exists else 0
         masked, fault, left = run_countdown(durations_of(rows[trigger]), start)
