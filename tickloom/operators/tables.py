@@ -70,8 +70,9 @@ def execution_costs(
 
 
 def anti_new_keys(incoming: DataFrame, existing: DataFrame, key: str) -> DataFrame:
-    """Incoming rows whose key is not stored yet."""
-    return incoming.join(existing.select(key).distinct(), key, "left_anti")
+    """Incoming rows whose key is not stored yet; null counts as a key."""
+    known = existing.select(F.col(key).alias("__known")).distinct()
+    return incoming.join(known, incoming[key].eqNullSafe(known["__known"]), "left_anti")
 
 
 def union_tables(tables: Sequence[DataFrame], schema: T.StructType | None = None,

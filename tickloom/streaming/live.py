@@ -165,12 +165,12 @@ def drop_old_days(spark: SparkSession, path: str, first_day: str, day: str = "da
 def incremental_append(incoming: DataFrame, path: str, key: str, order: Sequence[str]) -> DataFrame:
     """Add the keys a store does not have yet and return the store.
 
-    The store has one folder per key, so known keys are found from folder names and stored rows are
-    neither read nor rewritten. A repeated load adds nothing.
+    The store has one folder per key: the known keys are the values of a folder column, for which no
+    stored row is decoded, and nothing stored is rewritten. A repeated load adds nothing.
     """
     spark = incoming.sparkSession
     fresh = incoming
     if any(n.startswith(f"{key}=") for n in list_dir(spark, path)):
         fresh = anti_new_keys(incoming, spark.read.schema(incoming.schema).parquet(path), key)
     write_by_key(fresh, path, key, order, mode="append")
-    return spark.read.schema(incoming.schema).parquet(path)
+    return spark.read.schema(incoming.schema).parquet(path).select(incoming.columns)
