@@ -107,7 +107,7 @@ def test_weights_in_arrays(spark):
 
 def test_session_time_stays_inside(spark):
     days = spark.range(5000).select("id", F.lit(date(2024, 1, 2)).alias("day"))
-    ends = days.select(scalars.session_timestamp("day", "id").alias("t")).agg(
+    ends = days.select(scalars.session_timestamp("day", draws.key_hash("id")).alias("t")).agg(
         F.min("t").cast("string").alias("a"), F.max("t").cast("string").alias("b")).first()
     assert ends["a"] >= "2024-01-02 09:30:00" and ends["b"] <= "2024-01-02 16:00:00"
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HASH_RANGE = 1 << 32
@@ -27,9 +27,31 @@ def key_hash(key: Column | str, slot: int = 0) -> Column:
     return F.conv(digits, 16, 10).cast("bigint")
 
 
+def with_draws(df: DataFrame, key: str, count: int, prefix: str) -> DataFrame:
+    """Columns ``<prefix>0`` to ``<prefix><count - 1>`` with the hashes of slots 0 to ``count`` - 1.
+
+    Each md5 becomes a column first, so four draws share one and a draw used twice is made once.
+    """
+    text = F.col(key).cast("string")
+    digests = {
+        f"{prefix}md5_{i}": F.md5(text if i == 0 else F.concat(text, F.lit(f"#{i}"))) for i in range((count + 3) // 4)
+    }
+    hashed = df.select("*", *[c.alias(n) for n, c in digests.items()])
+    draws = [
+        F.conv(F.substring(F.col(f"{prefix}md5_{i // 4}"), 1 + 8 * (i % 4), 8), 16, 10).cast("bigint").alias(f"{prefix}{i}")
+        for i in range(count)
+    ]
+    return hashed.select(*df.columns, *draws)
+
+
+def as_unit(draw: Column) -> Column:
+    """A hash as a double in [0, 1)."""
+    return draw.cast("double") / F.lit(float(HASH_RANGE))
+
+
 def key_unit(key: Column | str, slot: int = 0) -> Column:
     """A double in [0, 1) from the key."""
-    return key_hash(key, slot).cast("double") / F.lit(float(HASH_RANGE))
+    return as_unit(key_hash(key, slot))
 
 
 def pick_from_array(values: Column | str, key: Column | str, slot: int = 0) -> Column:
@@ -40,9 +62,10 @@ def pick_from_array(values: Column | str, key: Column | str, slot: int = 0) -> C
     return F.when(size > 0, F.element_at(values, position))
 
 
-def pick_literal(choices: Sequence[str], key: Column | str, slot: int = 0) -> Column:
-    """One of a short fixed list of choices, all equally likely."""
-    return pick_from_array(F.array(*[F.lit(c) for c in choices]), key, slot)
+def pick_literal(choices: Sequence[str], draw: Column) -> Column:
+    """One of a short fixed list of choices, all equally likely, by a hash."""
+    position = (F.pmod(draw, F.lit(len(choices)).cast("bigint")) + 1).cast("int")
+    return F.element_at(F.array(*[F.lit(c) for c in choices]), position)
 
 
 def weighted_choice(choices: Sequence, weights: Sequence[float], unit: Column) -> Column:

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tickloom.functions.draws import key_hash
 from tickloom.functions.spans import FIXED_UNITS, parse_span
 
 
@@ -30,7 +29,8 @@ def to_numeric_coerce(c: Column | str, digits: int | None = 2) -> Column:
 def to_int_fill(c: Column | str, fill: int = 0) -> Column:
     """Text to long, cutting off decimals; anything that is not a number becomes ``fill``."""
     text = _col(c).cast("string")
-    exact = F.trim(text).try_cast("bigint")
+    # Only whole numbers are tried: a failed attempt costs far more than the look at the text.
+    exact = F.when(text.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(text).try_cast("bigint"))
     via_double = to_numeric_coerce(text, None).try_cast("bigint")
     return F.coalesce(exact, via_double, F.lit(fill).cast("bigint"))
 
@@ -175,9 +175,9 @@ SESSION_OPEN_SECONDS = 9 * 3600 + 1800   # 09:30
 SESSION_SECONDS = 6 * 3600 + 1800        # to 16:00
 
 
-def session_timestamp(day: Column | str, key: Column | str, slot: int = 0) -> Column:
-    """A moment of the trading session 09:30 to 16:00 on ``day``, to the second, chosen by the key."""
-    second = F.pmod(key_hash(key, slot), F.lit(SESSION_SECONDS + 1).cast("bigint"))
+def session_timestamp(day: Column | str, draw: Column) -> Column:
+    """A moment of the trading session 09:30 to 16:00 on ``day``, to the second, chosen by a hash."""
+    second = F.pmod(draw, F.lit(SESSION_SECONDS + 1).cast("bigint"))
     start = F.unix_micros(_col(day).cast("date").cast("timestamp"))
     offset = (second + F.lit(SESSION_OPEN_SECONDS)) * F.lit(1_000_000).cast("bigint")
     return F.timestamp_micros(start + offset)

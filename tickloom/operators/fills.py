@@ -9,11 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.functions.draws import key_unit, key_hash, pick_literal, weighted_choice, weighted_from_arrays
+from tickloom.functions.draws import (
+    as_unit, key_hash, key_unit, pick_literal, weighted_choice, weighted_from_arrays, with_draws,
+)
 from tickloom.functions.scalars import fill_price, limit_price, session_timestamp, side_from_sign
 from tickloom.operators.filters import drop_zero, require_columns
 from tickloom.operators.ordering import sequential_id
-from tickloom.operators.series import ROWS_PER_SLICE, signed_delta
+from tickloom.operators.series import signed_delta
 from tickloom.operators.tables import enforce_schema, execution_costs, lookup_join
 
 # Columns and types of the fills table.
@@ -123,6 +125,10 @@ class Desk:
     benchmarks: Sequence[str]
 
 
+# Draws of a child row, by slot.
+(TRADER, DESK, VENUE, FUND, BENCHMARK, TYPE, STATUS, FLIP, SECOND, SPREAD, MID, SLIP, MARGIN, PART) = range(14)
+
+
 def fills_from_bars(
     bars: DataFrame,
     desk: Desk,
@@ -131,7 +137,7 @@ def fills_from_bars(
     scale: float = 0.01,
     extras: bool = False,
     number: bool = True,
-    rows_per_slice: int = ROWS_PER_SLICE,
+    rows_per_slice: int | None = None,
 ) -> DataFrame:
     """Daily bars to fills: the change in volume becomes a parent order, cut into priced child orders.
 
@@ -139,6 +145,9 @@ def fills_from_bars(
     name and sector. ``trade_value`` and the fees are those of the whole child order; ``extras`` adds
     ``parent_qty`` and ``fill_value``, the value of the quantity filled. ``number=False`` leaves
     ``trade_id`` null and with it the one step that has to write (see ``ordering.positions``).
+
+    A symbol has at most one row per day, which bounds its series, so long ones are not looked for
+    unless ``rows_per_slice`` says so.
     """
     require_columns(bars, ["date", "symbol", "high", "low", "close", "volume"])
     has = set(bars.columns)
@@ -160,60 +169,65 @@ def fills_from_bars(
         F.abs(F.col("__delta")).alias("parent_qty"),
         F.concat_ws("|", "symbol", F.col("date").cast("string")).alias("__parent"),
     )
-    count = weighted_choice(range(1, len(SLICE_WEIGHTS) + 1), SLICE_WEIGHTS, key_unit("__parent", 1))
-    children = order_slices(parents, "parent_qty", count, "__parent", name="order_qty")
+    parents = with_draws(parents, "__parent", 2, "__p").drop("__p0")
+    count = weighted_choice(range(1, len(SLICE_WEIGHTS) + 1), SLICE_WEIGHTS, as_unit(F.col("__p1")))
+    children = order_slices(parents, "parent_qty", count, "__parent", name="order_qty").drop("__p1")
     children = children.withColumn("__key", F.concat_ws("|", F.col("__parent"), F.col("slice_no").cast("string")))
+    timed = children.withColumn("event_ts", session_timestamp("date", key_hash("__key", SECOND)))
+    if number:
+        # Numbered while the rows are slim; prices and choices follow from the key afterwards.
+        timed = sequential_id(timed, ["event_ts", "symbol", "date", "slice_no"])
+    else:
+        timed = timed.withColumn("trade_id", F.lit(None))
+    priced = _priced(with_draws(timed, "__key", PART + 1, "__d"), desk)
+    costed = execution_costs(priced, trader_rates, venue_rates, qty="order_qty")
+    table = costed.withColumn("fill_value", F.col("qty") * F.col("price"))
+    schema = FILLS_SCHEMA
+    if extras:
+        more = [T.StructField("parent_qty", T.IntegerType()), T.StructField("fill_value", T.FloatType())]
+        schema = T.StructType([*schema.fields, *more])
+    return enforce_schema(table, schema)
+
 
-    def unit(slot: int) -> Column:
-        return key_unit("__key", slot)
+def _priced(drawn: DataFrame, desk: Desk) -> DataFrame:
+    """Child rows with their draws to orders with choices, quotes and prices."""
+
+    def draw(slot: int) -> Column:
+        return F.col(f"__d{slot}")
 
     def between(bounds: tuple[float, float], slot: int) -> Column:
         low, high = bounds
-        return F.lit(low) + unit(slot) * F.lit(high - low)
+        return F.lit(low) + as_unit(draw(slot)) * F.lit(high - low)
 
+    with_parent = side_from_sign("__delta")
     against = F.when(F.col("__delta") > 0, F.lit("SELL")).otherwise(F.lit("BUY"))
-    drawn = children.select(
+    chosen = drawn.select(
         "*",
-        pick_literal(desk.traders, F.col("__key"), 0).alias("trader"),
-        pick_literal(desk.desks, F.col("__key"), 1).alias("desk"),
-        pick_literal(desk.venues, F.col("__key"), 2).alias("exec_venue"),
-        pick_literal(desk.funds, F.col("__key"), 3).alias("fund"),
-        pick_literal(desk.benchmarks, F.col("__key"), 4).alias("benchmark_index"),
-        pick_literal(ORDER_TYPES, F.col("__key"), 5).alias("order_type"),
-        weighted_choice(ORDER_STATUSES, STATUS_WEIGHTS, unit(6)).alias("order_status"),
-        F.when(unit(7) < FLIP_SHARE, against).otherwise(side_from_sign("__delta")).alias("side"),
-        session_timestamp("date", F.col("__key"), 8).alias("event_ts"),
-        (F.col("close") * between(SPREAD_RANGE, 9)).alias("__spread"),
-    )
-    quoted = drawn.withColumn("__mid", F.col("close") + (unit(10) * 2 - 1) * F.col("__spread"))
-    quoted = quoted.select(
-        "*", (F.col("__mid") - F.col("__spread") / 2).alias("__bid"), (F.col("__mid") + F.col("__spread") / 2).alias("__ask")
+        pick_literal(desk.traders, draw(TRADER)).alias("trader"),
+        pick_literal(desk.desks, draw(DESK)).alias("desk"),
+        pick_literal(desk.venues, draw(VENUE)).alias("exec_venue"),
+        pick_literal(desk.funds, draw(FUND)).alias("fund"),
+        pick_literal(desk.benchmarks, draw(BENCHMARK)).alias("benchmark_index"),
+        pick_literal(ORDER_TYPES, draw(TYPE)).alias("order_type"),
+        weighted_choice(ORDER_STATUSES, STATUS_WEIGHTS, as_unit(draw(STATUS))).alias("order_status"),
+        F.when(as_unit(draw(FLIP)) < FLIP_SHARE, against).otherwise(with_parent).alias("side"),
+        (F.col("close") * between(SPREAD_RANGE, SPREAD)).alias("__spread"),
     )
-    raw = fill_price("side", "__bid", "__ask", unit(11) * F.col("__spread") * 0.5)
-    priced = quoted.withColumn("__price", raw)
-    part = F.pmod(key_hash("__key", 13), F.col("order_qty") + 1)
-    filled = priced.select(
+    middle = chosen.withColumn("__mid", F.col("close") + (as_unit(draw(MID)) * 2 - 1) * F.col("__spread"))
+    half = F.col("__spread") / 2
+    quoted = middle.select("*", (F.col("__mid") - half).alias("__bid"), (F.col("__mid") + half).alias("__ask"))
+    slip = as_unit(draw(SLIP)) * F.col("__spread") * 0.5
+    filled = quoted.withColumn("__price", fill_price("side", "__bid", "__ask", slip))
+    part = F.pmod(draw(PART), F.col("order_qty") + 1)
+    return filled.select(
         "*",
         F.bround("__price", 2).alias("price"),
-        F.bround(limit_price("side", "__price", between(MARGIN_RANGE, 12)), 2).alias("limit_price"),
+        F.bround(limit_price("side", "__price", between(MARGIN_RANGE, MARGIN)), 2).alias("limit_price"),
         F.when(F.col("order_status") == "FILLED", F.col("order_qty")).otherwise(part).alias("qty"),
-    )
-    costed = execution_costs(filled, trader_rates, venue_rates, qty="order_qty")
-    table = costed.select(
-        "*",
         F.bround("__bid", 2).alias("bid_price"),
         F.bround("__ask", 2).alias("ask_price"),
         F.bround("__mid", 2).alias("mid_price"),
         F.bround("__spread", 4).alias("spread_price"),
         F.col("high").alias("high_day"),
         F.col("low").alias("low_day"),
-        (F.col("qty") * F.col("price")).alias("fill_value"),
     )
-    if number:
-        table = sequential_id(table, ["event_ts", "symbol", "date", "slice_no"])
-    else:
-        table = table.withColumn("trade_id", F.lit(None))
-    schema = FILLS_SCHEMA
-    if extras:
-        schema = T.StructType([*schema.fields, T.StructField("parent_qty", T.IntegerType()), T.StructField("fill_value", T.FloatType())])
-    return enforce_schema(table, schema)

@@ -103,7 +103,8 @@ def mask_outages(
     """
     keys = [station]
     cut = sliced(df, keys, order[0], rows_per_slice)
-    starts = _slice_starts(cut, station, order, trigger)
+    longest = int(df.agg(F.max(trigger).alias("m")).first()["m"] or 0)
+    starts = _slice_starts(cut, station, order, trigger, longest)
     side = renamed_keys(starts, keys, "__carry").withColumnRenamed(SLICE, "__carry_slice")
     match = same_keys(cut, side, keys, "__carry") & (cut[SLICE] == side["__carry_slice"]) & cut["__is_long"]
     started = cut.join(F.broadcast(side), match, "left").select(
@@ -136,12 +137,10 @@ def mask_outages(
     return in_order.mapInArrow(mask, schema)
 
 
-def _slice_starts(cut: DataFrame, station: str, order: Sequence[str], trigger: str) -> DataFrame:
-    """The countdown each slice of a long station starts with."""
+def _slice_starts(cut: DataFrame, station: str, order: Sequence[str], trigger: str, longest: int) -> DataFrame:
+    """The countdown each slice of a long station starts with; no outage is longer than ``longest``."""
     key_type = cut.schema[station]
     pieces = cut.filter("__is_long").select(*dict.fromkeys([station, SLICE, *order, trigger]))
-    longest = cut.agg(F.max(trigger).alias("m")).first()["m"]
-    longest = int(longest or 0)
     tables = T.StructType([
         key_type, T.StructField(SLICE, T.LongType()), T.StructField("__rows", T.LongType()),
         T.StructField("__ends", T.ArrayType(T.LongType())),

@@ -123,9 +123,14 @@ def previous_value(
     order: Sequence[str],
     value: str,
     name: str = "previous",
-    rows_per_slice: int = ROWS_PER_SLICE,
+    rows_per_slice: int | None = ROWS_PER_SLICE,
 ) -> DataFrame:
-    """The value of the row before in the series; null on the first row. ``order`` must be unique per key."""
+    """The value of the row before in the series; null on the first row. ``order`` must be unique per key.
+
+    Without ``rows_per_slice`` no key is looked at for its length: for series known to be short.
+    """
+    if rows_per_slice is None:
+        return df.withColumn(name, F.lag(value).over(Window.partitionBy(*keys).orderBy(*order)))
     cut = sliced(df, keys, order[0], rows_per_slice)
     at = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     lasts = _summary(cut, keys, F.max_by(F.col(value), at).alias("__last"))
@@ -143,7 +148,7 @@ def signed_delta(
     value: str,
     scale: float = 0.01,
     name: str = "order_qty",
-    rows_per_slice: int = ROWS_PER_SLICE,
+    rows_per_slice: int | None = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Change of ``value`` from the row before, times ``scale``, rounded half to even; 0 on the first row."""
     before = previous_value(df, keys, order, value, "__previous", rows_per_slice)

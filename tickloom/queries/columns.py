@@ -225,7 +225,7 @@ def power_metrics(spark, folder):
         CAST(('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8)) AS BIGINT) % 23401) AS event_ts FROM orders""")
 def session_timestamp(spark, folder):
     return table(spark, folder, "orders").select(
-        "o_orderkey", scalars.session_timestamp("o_orderdate", "o_orderkey").cast("timestamp_ntz").alias("event_ts")
+        "o_orderkey", scalars.session_timestamp("o_orderdate", draws.key_hash("o_orderkey")).cast("timestamp_ntz").alias("event_ts")
     )
 
 

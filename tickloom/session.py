@@ -14,8 +14,20 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # HotSpot leaves methods above 8000 bytes of bytecode uncompiled; beyond that Spark does better
+    # with one compiled method per operator than with one interpreted method per stage.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.ui.enabled": "false",
 }
+# The part of them that can be set on a running session.
+RUNTIME = ("spark.sql.session.timeZone", "spark.sql.codegen.hugeMethodLimit")
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Give a session started elsewhere the settings results and speed depend on."""
+    for key in RUNTIME:
+        spark.conf.set(key, DEFAULTS[key])
+    return spark
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **extra: str) -> SparkSession:
