@@ -149,6 +149,8 @@ def test_shares_and_members(spark):
     assert [(r["n"], r["percent"]) for r in out] == [(3, 75.0), (1, 25.0), (0, 0.0)]
     assert stats.value_shares(df.limit(0), "k").count() == 0
     assert {r["k"]: r["members"] for r in stats.members_by_group(df, "k", "m").collect()} == {"a": [1], "b": [2]}
+    with pytest.raises(ValueError, match="member_rows"):
+        stats.members_by_group(spark.range(9).withColumn("k", F.lit(1)), "k", "id", limit=8)
 
 
 def test_calendar_has_no_gaps(spark):

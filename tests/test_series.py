@@ -1,5 +1,6 @@
 """Series operators with one key that holds a large part of the rows, cut into slices."""
 
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -110,6 +111,18 @@ def test_positions_do_not_depend_on_partitions(spark, skewed):
     assert tied.filter(F.col("position") != 2999 - F.col("seq")).count() == 0
 
 
+def test_latest_n_reads_from_the_needed_day(spark):
+    rows = spark.range(1000).select(F.timestamp_seconds(F.col("id") * 3600).alias("t"), "id")
+    rows = rows.unionByName(spark.range(3).select(F.lit(None).cast("timestamp").alias("t"), "id"))
+    for n in (1, 30, 1000):
+        out = ordering.latest_n(rows, "t", n, ["id"])
+        assert [r["id"] for r in out.collect()] == [999 - i for i in range(n)]
+    assert ordering.latest_n(rows, "t", 1002, ["id"]).filter("t IS NULL").count() == 2
+    assert ordering.latest_n(rows, "t", 5000, ["id"]).count() == 1003
+    assert "cast(t" not in ordering.latest_n(rows, "t", 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["id"] for r in ordering.latest_n(rows, "id", 2, ["t"]).collect()] == [999, 998]
+
+
 def test_equal_parts(spark):
     df = spark.createDataFrame([(1000, 3), (2, 5), (7, 1), (9, 0)], "total long, k int")
     out = parts.equal_parts(df, "total", "k").orderBy("total", "part_no")
@@ -138,6 +151,15 @@ def step_by_step(durations):
     return masked, status
 
 
+def test_steps_agree_with_a_run():
+    rng = np.random.default_rng(7)
+    for _ in range(300):
+        durations = np.where(rng.random(40) < rng.random(), rng.integers(0, 15, 40), 0)
+        cuts, ends = outages.countdown_steps(durations, 20)
+        for start in range(21):
+            assert ends[np.searchsorted(cuts, start)] == outages.run_countdown(durations, start)[2]
+
+
 @pytest.mark.parametrize("rows", [15, 200, 10_000])
 def test_outages_of_long_stations(skewed, rows):
     out = outages.mask_outages(skewed, "k", ["t"], "d", ["v"], rows_per_slice=rows)

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickloom.functions.draws import key_hash
 from tickloom.session import durable
@@ -30,7 +31,23 @@ def sort_multi(df: DataFrame, order: Sequence[Order]) -> DataFrame:
 
 
 def latest_n(df: DataFrame, ts: str, n: int, tie: Sequence[str] = ()) -> DataFrame:
-    """The newest ``n`` rows; every task keeps only its own newest ``n``."""
+    """The newest ``n`` rows.
+
+    For a date or timestamp a first job counts rows per day, reading that column only, and finds the
+    day the n-th row falls on. The sort then sees the rows from that day on, and the scan skips the
+    files before it, where otherwise every task would send ``n`` rows to the last one.
+    """
+    kind = df.schema[ts].dataType
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        per_day = df.filter(F.col(ts).isNotNull()).groupBy(F.to_date(ts).alias("day")).count()
+        # Each of these days has a row, so n of them are enough.
+        seen, first = 0, None
+        for day in per_day.orderBy(F.col("day").desc()).limit(n).collect():
+            seen, first = seen + day["count"], day["day"]
+            if seen >= n:
+                break
+        if seen >= n:
+            df = df.filter(F.col(ts) >= F.lit(str(first)).cast(kind))
     return df.orderBy(F.col(ts).desc_nulls_last(), *[F.col(t).desc_nulls_last() for t in tie]).limit(n)
 
 
@@ -44,31 +61,36 @@ def sample_n(df: DataFrame, n: int, key: str) -> DataFrame:
     return df.orderBy(key_hash(key), F.col(key)).limit(n)
 
 
-def positions(df: DataFrame, order: Sequence[Order], name: str = "position", partitions: int | None = None) -> DataFrame:
-    """Rows numbered from 0 along a global order, which must be unique.
+def numbered(df: DataFrame, name: str = "position") -> DataFrame:
+    """Rows numbered from 0 in the order of the partitions and of the rows in them, as after a sort.
 
-    The table is range-partitioned by the order, so no task holds more than its share whatever the
-    values. The sorted partitions are written to the shared folder once: range borders are sampled,
-    and a lost executor must not lead to other borders. A row's number is then the rows in the
-    partitions before plus its place in its own, with one count per partition on the driver.
+    The partitions are written to the shared folder once: the borders of a sort are sampled, and a lost
+    executor must not lead to other borders. A row's number is then the rows in the partitions before
+    plus its place in its own, with one count per partition on the driver.
     """
-    spark = df.sparkSession
-    columns = order_columns(order)
-    count = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = durable(df.repartitionByRange(count, *columns).sortWithinPartitions(*columns))
     # The partition number is in the upper bits of this id and the place within it in the lower 33.
-    placed = ranged.withColumn("__place", F.monotonically_increasing_id())
+    placed = durable(df).withColumn("__place", F.monotonically_increasing_id())
     part = F.shiftright(F.col("__place"), 33)
-    sizes = {r["p"]: r["n"] for r in placed.groupBy(part.alias("p")).count().withColumnRenamed("count", "n").collect()}
+    sizes = {r["p"]: r["n"] for r in placed.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
     offsets, before = [], 0
     for p in range(max(sizes, default=-1) + 1):
         offsets.append(before)
         before += sizes.get(p, 0)
-    starts = F.array(*[F.lit(o).cast("bigint") for o in offsets]) if offsets else F.array(F.lit(0).cast("bigint"))
+    starts = F.array(*[F.lit(o).cast("bigint") for o in offsets or [0]])
     place = F.col("__place").bitwiseAND(F.lit((1 << 33) - 1).cast("bigint"))
     return placed.withColumn(name, F.get(starts, part.cast("int")) + place).drop("__place")
 
 
+def positions(df: DataFrame, order: Sequence[Order], name: str = "position", partitions: int | None = None) -> DataFrame:
+    """Rows numbered from 0 along a global order, which must be unique.
+
+    The table is range-partitioned by the order, so no task holds more than its share whatever the values.
+    """
+    columns = order_columns(order)
+    count = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return numbered(df.repartitionByRange(count, *columns).sortWithinPartitions(*columns), name)
+
+
 def sequential_id(
     df: DataFrame, order: Sequence[Order], first: int = 10_001, name: str = "trade_id", partitions: int | None = None
 ) -> DataFrame:

@@ -3,24 +3,29 @@
 The countdown makes a row depend on all rows before it, which no window frame expresses, so the
 sequential part runs in Python over Arrow batches, looking at triggers only. A station with very many
 rows is cut into slices (see ``series``). For each slice a first pass finds the countdown it ends with
-for every countdown it may start with; chaining those small tables gives every slice its start, and
+for every countdown it may start with, a few numbers; chaining those gives every slice its start, and
 the slices are then masked side by side.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.operators.series import ROWS_PER_SLICE, SLICE, renamed_keys, same_keys, sliced
 
+# What runs in Python workers travels with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def run_countdown(durations: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray, int]:
     """(masked, fault, countdown left) for rows in order; a duration above 0 is a trigger.
@@ -45,16 +50,20 @@ def run_countdown(durations: np.ndarray, start: int) -> tuple[np.ndarray, np.nda
     return masked, fault, left
 
 
-def countdown_table(durations: np.ndarray, longest: int) -> np.ndarray:
-    """The countdown after these rows for every countdown 0, 1, ... before them that ends within them."""
+def countdown_steps(durations: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """The countdown after these rows as a step function of the one before them.
+
+    (cuts, ends): a countdown c that runs out within the rows, c <= ``longest``, leads to the end at the
+    first cut that is not below c. One step per trigger among the first ``longest`` rows.
+    """
     n = len(durations)
     at = np.flatnonzero(durations > 0)
     ends = np.zeros(len(at) + 1, dtype=np.int64)
     for j in range(len(at) - 1, -1, -1):
         free = at[j] + 1 + int(durations[at[j]])
         ends[j] = free - n if free >= n else ends[np.searchsorted(at, free)]
-    starts = np.arange(min(n, longest + 1))
-    return ends[np.searchsorted(at, starts)]
+    steps = int(np.searchsorted(at, longest))
+    return at[:steps], ends[: steps + 1]
 
 
 def durations_of(trigger: pd.Series) -> np.ndarray:
@@ -143,22 +152,22 @@ def _slice_starts(cut: DataFrame, station: str, order: Sequence[str], trigger: s
     pieces = cut.filter("__is_long").select(*dict.fromkeys([station, SLICE, *order, trigger]))
     tables = T.StructType([
         key_type, T.StructField(SLICE, T.LongType()), T.StructField("__rows", T.LongType()),
-        T.StructField("__ends", T.ArrayType(T.LongType())),
+        T.StructField("__cuts", T.ArrayType(T.LongType())), T.StructField("__ends", T.ArrayType(T.LongType())),
     ])
 
     def table(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         durations = durations_of(frame.sort_values(list(order))[trigger])
+        cuts, ends = countdown_steps(durations, longest)
         return pd.DataFrame({
-            station: [key[0]], SLICE: [key[1]], "__rows": [len(durations)],
-            "__ends": [countdown_table(durations, longest)],
+            station: [key[0]], SLICE: [key[1]], "__rows": [len(durations)], "__cuts": [cuts], "__ends": [ends],
         })
 
     def chain(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(SLICE)
         left, starts = 0, []
-        for rows, ends in zip(frame["__rows"], frame["__ends"]):
+        for rows, cuts, ends in zip(frame["__rows"], frame["__cuts"], frame["__ends"]):
             starts.append(left)
-            left = left - rows if left >= rows else int(ends[left])
+            left = left - rows if left >= rows else int(ends[np.searchsorted(cuts, left)])
         return pd.DataFrame({station: [key[0]] * len(frame), SLICE: frame[SLICE].to_numpy(), "__start": starts})
 
     summary = pieces.groupBy(station, SLICE).applyInPandas(table, tables)

@@ -109,12 +109,17 @@ def running_id(
 ) -> DataFrame:
     """A counter within each series: ``start`` + 1, + 2, ... along ``order``, which must be unique per key."""
     cut = sliced(df, keys, order[0], rows_per_slice)
+    return _counter(cut, keys, order, start, name).select(*df.columns, name)
+
+
+def _counter(cut: DataFrame, keys: Sequence[str], order: Sequence[str], start: int, name: str) -> DataFrame:
+    """The counter on a frame that has its slices."""
     counts = _summary(cut, keys, F.count(F.lit(1)).alias("__rows"))
     earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, SLICE, F.sum("__rows").over(earlier).alias("__offset"))
     within = Window.partitionBy(*keys, SLICE).orderBy(*order)
     number = F.row_number().over(within) + F.coalesce(F.col("__offset"), F.lit(0)) + F.lit(start)
-    return _with_carry(cut, offsets, keys).select(*df.columns, number.cast("bigint").alias(name))
+    return _with_carry(cut, offsets, keys).select(*cut.columns, number.cast("bigint").alias(name))
 
 
 def previous_value(
@@ -184,9 +189,7 @@ def rolling_mean(
     # Long series: number the rows, then cut by number into tiles that begin with a copy of the
     # window - 1 rows before them.
     tile_rows = max(rows_per_slice, 2 * window)
-    numbered = running_id(
-        cut.filter("__is_long").select(*df.columns), keys, order, 0, "__at", rows_per_slice
-    )
+    numbered = _counter(cut.filter("__is_long"), keys, order, 0, "__at")
     own = F.floor((F.col("__at") - 1) / tile_rows)
     reach = F.floor((F.col("__at") - 1 + (window - 1)) / tile_rows)
     tiled = numbered.select("*", own.alias("__own"), F.explode(F.sequence(own, reach)).alias("__tile"))

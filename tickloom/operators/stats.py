@@ -44,13 +44,19 @@ def summary(df: DataFrame, ts: str, mean: Sequence[str] = (), total: Sequence[st
     )
 
 
-def members_by_group(df: DataFrame, group: str, member: str, name: str = "members") -> DataFrame:
+MAX_MEMBERS = 100_000
+
+
+def members_by_group(df: DataFrame, group: str, member: str, name: str = "members", limit: int = MAX_MEMBERS) -> DataFrame:
     """Each group with the sorted array of its distinct members.
 
-    Duplicates go first, in a distributed step; the array itself is meant for groups of a small
-    dimension. For groups of any size use :func:`member_rows`.
+    Duplicates go first, in a distributed step. The largest group is then counted, and one with more
+    than ``limit`` members is refused: an array has to fit a task. :func:`member_rows` has no bound.
     """
     pairs = df.select(group, member).filter(F.col(member).isNotNull()).distinct()
+    largest = pairs.groupBy(group).count().agg(F.max("count").alias("n")).first()["n"]
+    if largest and largest > limit:
+        raise ValueError(f"a group has {largest} members, more than {limit}; use member_rows")
     return pairs.groupBy(group).agg(F.sort_array(F.collect_list(member)).alias(name))
 
 

@@ -272,7 +272,7 @@ def sequential_id(spark, folder):
 def sort_multi(spark, folder):
     events = table(spark, folder, "events").select("event_id", "event_type", "value")
     order = ["event_type", ("value", "desc"), "event_id"]
-    return ordering.positions(ordering.sort_multi(events, order), order).select("event_id", "position")
+    return ordering.numbered(ordering.sort_multi(events, order)).select("event_id", "position")
 
 
 @query("SELECT event_id, ts, value FROM events ORDER BY ts DESC, event_id DESC LIMIT 1000")

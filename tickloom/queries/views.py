@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tickloom.operators.ordering import numbered
 from tickloom.plans.view import view
 from tickloom.queries.registry import dominant_sql, last_sql, mean_sql, money, query, table, view_sql
 
@@ -190,9 +191,7 @@ def view_sorted(spark, folder):
         "group_by": ["o_orderpriority"], "columns": ["o_totalprice", "o_orderstatus"],
         "filter": [["o_totalprice", ">=", 250000]], "sort": [["o_totalprice", "desc"]],
     }
-    ordered = view(orders, config)
-    # Sorted partitions follow each other, so with one row per group the ids grow along the result.
-    return as_doubles(ordered.coalesce(1).withColumn("place", F.monotonically_increasing_id()))
+    return as_doubles(numbered(view(orders, config), "place"))
 
 
 @query("""
