@@ -85,6 +85,18 @@ def test_slices_follow_other_order_types(spark, order):
     assert out.withColumn("want", F.row_number().over(Window.partitionBy("k").orderBy(order))).filter("r <> want").count() == 0
 
 
+def test_busy_period_is_cut_again(spark):
+    """Half of a long key's rows lie in a hundredth of its time."""
+    n = F.col("id")
+    at = F.when(n < 5000, n * 1_000_000).otherwise(F.lit(2_000_000_000) + n * 10_000)
+    rows = spark.range(10_000).select(F.lit("one").alias("k"), F.timestamp_micros(at).alias("t"), "id")
+    cut = series.sliced(rows, ["k"], "t", 200)
+    sizes = [r["count"] for r in cut.groupBy(series.SLICE).count().collect()]
+    assert sum(sizes) == 10_000 and max(sizes) <= 200
+    out = series.running_id(rows, ["k"], ["t"], 0, "r", 200)
+    assert out.withColumn("want", F.row_number().over(by_time())).filter("r <> want").count() == 0
+
+
 def test_signed_delta_of_the_fixture(spark):
     rows = [("AAPL", f"2024-01-0{i + 1}", 1_000_000 + i * 100_000) for i in range(5)]
     df = spark.createDataFrame(rows, "symbol string, date string, volume long")

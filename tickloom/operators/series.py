@@ -73,7 +73,9 @@ def long_keys(df: DataFrame, keys: Sequence[str], order: str, rows_per_slice: in
 def sliced(df: DataFrame, keys: Sequence[str], order: str, rows_per_slice: int) -> DataFrame:
     """``df`` with a slice number: 0 for short keys, increasing along ``order`` for long ones.
 
-    The marker column ``__is_long`` tells the two apart. Nulls sort first and NaN last, as in Spark.
+    The marker column ``__is_long`` tells the two apart. Slices are cut at equal distances; one that
+    still has too many rows, from a busy period, is cut once more. Nulls sort first and NaN last, as in
+    Spark.
     """
     cuts = long_keys(df, keys, order, rows_per_slice)
     joined = df.join(F.broadcast(cuts), same_keys(df, cuts, keys, "__long"), "left")
@@ -82,10 +84,22 @@ def sliced(df: DataFrame, keys: Sequence[str], order: str, rows_per_slice: int)
         F.when(F.col("__n").isNull(), F.lit(0).cast("bigint"))
         .when(F.col(order).isNull(), F.lit(-1).cast("bigint"))
         .when(F.isnan(position), F.col("__pieces") + 1)
-        .when(F.col("__step") > 0, F.floor((position - F.col("__lo")) / F.col("__step")))
-        .otherwise(F.lit(0).cast("bigint"))
+        .otherwise(_piece(position))
     )
-    return joined.select(*df.columns, number.alias(SLICE), F.col("__n").isNotNull().alias("__is_long"))
+    coarse = joined.select(*df.columns, number.alias(SLICE), F.col("__n").isNotNull().alias("__is_long"))
+
+    dense = long_keys(coarse.filter("__is_long"), [*keys, SLICE], order, rows_per_slice)
+    match = same_keys(coarse, dense, [*keys, SLICE], "__long") & coarse["__is_long"]
+    again = coarse.join(F.broadcast(dense), match, "left")
+    finer = F.when(F.col("__n").isNull() | F.col(order).isNull() | F.isnan(position), F.lit(0)).otherwise(_piece(position))
+    number = F.col(SLICE) * F.lit(1 << 31).cast("bigint") + finer
+    return again.select(*df.columns, number.alias(SLICE), "__is_long")
+
+
+def _piece(position: Column) -> Column:
+    """The piece of a long key a position falls into."""
+    step = F.col("__step")
+    return F.when(step > 0, F.floor((position - F.col("__lo")) / step)).otherwise(F.lit(0).cast("bigint"))
 
 
 def _summary(cut: DataFrame, keys: Sequence[str], *aggs: Column) -> DataFrame:

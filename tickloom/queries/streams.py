@@ -153,15 +153,18 @@ def stop_at(spark, folder):
     return framed.select("event_id", "frame")
 
 
-def played_events(spark, folder, columns, frames=5):
-    """The events published frame by frame, and the stream that reads them one frame per batch."""
+def played_events(spark, folder, columns, frames=5, files=4):
+    """The events published frame by frame, and the stream that reads them one frame per batch.
+
+    A fifth of the table is a frame, whatever its size, so a frame is several files.
+    """
     events = columns(table(spark, folder, "events"))
     chunk = -(-events.count() // frames)
     framed = replay.replay_table(events, ["ts", "event_id"], chunk, "2024-06-01", "250ms").drop("replay_ts")
     stored, target = scratch_path(spark, "frames"), scratch_path(spark, "published")
     replay.write_frames(framed, stored, ["ts", "event_id"])
-    replay.play_frames(spark, stored, target, ["ts", "event_id"])
-    return replay.file_replay_source(spark, target, spark.read.parquet(target).schema)
+    replay.play_frames(spark, stored, target, ["ts", "event_id"], files=files)
+    return replay.file_replay_source(spark, target, spark.read.parquet(target).schema, files)
 
 
 @query("""

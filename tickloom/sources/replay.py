@@ -64,20 +64,21 @@ def frame_numbers(spark: SparkSession, path: str) -> list[int]:
 
 def play_frames(
     spark: SparkSession, path: str, target: str, order: Sequence[str], period_seconds: float = 0.0,
-    frames: Sequence[int] | None = None,
+    frames: Sequence[int] | None = None, files: int = 1,
 ) -> int:
     """Publish frame after frame into the folder ``target``, which a file stream watches.
 
-    Each frame is read from its own folder only and appended as one file, so files get newer in frame
-    order and a stream with ``maxFilesPerTrigger`` 1 sees one frame per batch. The loop is the pacing:
-    it starts one small job per period.
+    Each frame is read from its own folder only and appended as ``files`` files, more than one for
+    large frames. Files get newer in frame order, so a stream with ``maxFilesPerTrigger`` of that number
+    sees one frame per batch. The loop is the pacing: it starts one job per period.
     """
     numbers = frame_numbers(spark, path) if frames is None else list(frames)
     schema = spark.read.parquet(path).schema
     for number in numbers:
         begin = time.monotonic()
         rows = spark.read.schema(schema).parquet(path).filter(F.col(FRAME) == number)
-        rows.coalesce(1).sortWithinPartitions(*order).write.mode("append").parquet(target)
+        spread = rows.coalesce(1) if files == 1 else rows.repartition(files)
+        spread.sortWithinPartitions(*order).write.mode("append").parquet(target)
         time.sleep(max(0.0, period_seconds - (time.monotonic() - begin)))
     return len(numbers)
 
