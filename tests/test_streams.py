@@ -46,6 +46,15 @@ def test_callback_gets_every_batch(spark):
     assert [i for i, _ in seen] == list(range(6)) and sum(n for _, n in seen) == 300
 
 
+def test_polling_picks_up_new_files(spark):
+    df, stream = source(spark, 30, 1)
+    seen = []
+    query = live.micro_batch(stream, lambda batch, i: seen.append(batch.count()), scratch_path(spark, "p"), "100 milliseconds")
+    query.processAllAvailable()
+    query.stop()
+    assert seen == [30]
+
+
 def test_fan_out_to_two_sinks(spark):
     df, stream = source(spark)
     paths = scratch_path(spark, "a"), scratch_path(spark, "b")

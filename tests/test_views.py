@@ -113,3 +113,11 @@ def test_raw_rows_are_not_multiplied(ticks):
     plan = view(ticks, {"group_by": ["ticker", "client"], "columns": ["price"]})._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Generate explode") < plan.index("Exchange hashpartitioning(__k0")
     assert "SortAggregate" not in plan
+
+
+def test_partitions_do_not_matter(ticks):
+    config = {"group_by": ["ticker"], "split_by": ["client"], "columns": ["price", "tag", "client"],
+              "aggregates": {"price": "last", "tag": "dominant", "client": "count"}, "sort": [["x|price", "asc"]]}
+    want = [tuple(r) for r in view(ticks, config, ["seq"]).collect()]
+    for n in (1, 7):
+        assert [tuple(r) for r in view(ticks.repartition(n), config, ["seq"]).collect()] == want

@@ -126,14 +126,22 @@ def running_id(
     return _counter(cut, keys, order, start, name).select(*df.columns, name)
 
 
-def _counter(cut: DataFrame, keys: Sequence[str], order: Sequence[str], start: int, name: str) -> DataFrame:
-    """The counter on a frame that has its slices."""
+def _counter(
+    cut: DataFrame, keys: Sequence[str], order: Sequence[str], start: int, name: str, size: str | None = None
+) -> DataFrame:
+    """The counter on a frame that has its slices, and the number of rows of the series if ``size`` names it."""
     counts = _summary(cut, keys, F.count(F.lit(1)).alias("__rows"))
-    earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, SLICE, F.sum("__rows").over(earlier).alias("__offset"))
-    within = Window.partitionBy(*keys, SLICE).orderBy(*order)
-    number = F.row_number().over(within) + F.coalesce(F.col("__offset"), F.lit(0)) + F.lit(start)
-    return _with_carry(cut, offsets, keys).select(*cut.columns, number.cast("bigint").alias(name))
+    series = Window.partitionBy(*keys)
+    earlier = series.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(
+        *keys, SLICE, F.sum("__rows").over(earlier).alias("__offset"), F.sum("__rows").over(series).alias("__all")
+    )
+    piece = Window.partitionBy(*keys, SLICE)
+    number = F.row_number().over(piece.orderBy(*order)) + F.coalesce(F.col("__offset"), F.lit(0)) + F.lit(start)
+    columns = [*cut.columns, number.cast("bigint").alias(name)]
+    if size is not None:
+        columns.append(F.coalesce(F.col("__all"), F.count(F.lit(1)).over(piece)).alias(size))
+    return _with_carry(cut, offsets, keys).select(*columns)
 
 
 def previous_value(
@@ -221,8 +229,8 @@ def log_rank_weights(
     rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Weights from 1 down to ``low``, evenly spaced on a log scale by position within the group."""
-    numbered = running_id(df, keys, order, 0, "__at", rows_per_slice)
-    counted = group_totals(numbered, keys, {"__size": F.count(F.lit(1))}, rows_per_slice)
+    cut = sliced(df, keys, order[0], rows_per_slice)
+    counted = _counter(cut, keys, order, 0, "__at", "__size")
     share = (F.col("__at") - 1) / (F.col("__size") - 1)
     weight = F.when(F.col("__size") == 1, F.lit(1.0)).otherwise(F.pow(F.lit(float(low)), share))
     return counted.select(*df.columns, weight.alias(name))

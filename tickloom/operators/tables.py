@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickloom.functions.scalars import iso_string, null_non_finite
+
 
 def rename_columns(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
     return df.withColumnsRenamed(dict(names))
@@ -111,3 +113,18 @@ def enforce_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
+def json_ready(df: DataFrame) -> DataFrame:
+    """Values as JSON viewers read them: ISO text for timestamps, doubles for long integers, no NaN or infinity."""
+    columns = []
+    for field in df.schema.fields:
+        c = F.col(field.name)
+        if isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
+            c = iso_string(c)
+        elif isinstance(field.dataType, (T.LongType, T.DecimalType)):
+            c = c.cast("double")
+        elif isinstance(field.dataType, (T.FloatType, T.DoubleType)):
+            c = null_non_finite(c)
+        columns.append(c.alias(field.name))
+    return df.select(*columns)

@@ -96,11 +96,10 @@ def null_non_finite(spark, folder):
     return table(spark, folder, "events").select("event_id", scalars.null_non_finite(odd).alias("value"))
 
 
-@query("SELECT CAST(event_id AS DOUBLE) AS event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS ts FROM events")
+@query("""
+    SELECT CAST(event_id AS DOUBLE) AS event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS ts, event_type, value FROM events""")
 def iso_strings(spark, folder):
-    return table(spark, folder, "events").select(
-        F.col("event_id").cast("double").alias("event_id"), scalars.iso_string("ts").alias("ts")
-    )
+    return tables.json_ready(table(spark, folder, "events").select("event_id", "ts", "event_type", "value"))
 
 
 @query("""

@@ -73,6 +73,15 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/version={versions[-1]}")
 
 
+def _write_version(rows: DataFrame, path: str, version: int, keep: int = 3) -> None:
+    """Write a version, replacing one of the same number, and delete all but the last ``keep``."""
+    spark = rows.sparkSession
+    rows.write.mode("overwrite").parquet(f"{path}/version={version}")
+    older = [v for v in snapshot_versions(spark, path) if v < version]
+    for old in older[: max(0, len(older) - keep + 1)]:
+        delete_dir(spark, f"{path}/version={old}")
+
+
 def update_snapshot(
     batch: DataFrame, batch_id: int, path: str, order: Sequence[Order], limit: int, keep: int = 3
 ) -> None:
@@ -86,9 +95,7 @@ def update_snapshot(
     rows = batch
     if versions:
         rows = spark.read.schema(batch.schema).parquet(f"{path}/version={versions[-1]}").unionByName(batch)
-    sort_multi(rows, order).limit(limit).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
-    for old in versions[: max(0, len(versions) - keep + 1)]:
-        delete_dir(spark, f"{path}/version={old}")
+    _write_version(sort_multi(rows, order).limit(limit), path, batch_id, keep)
 
 
 def bounded_table(path: str, order: Sequence[Order], limit: int) -> Sink:
@@ -105,7 +112,7 @@ def live_view(
     def refresh(batch: DataFrame, batch_id: int) -> None:
         update_snapshot(batch, batch_id, table_path, order, limit)
         rows = batch.sparkSession.read.schema(batch.schema).parquet(f"{table_path}/version={batch_id}")
-        view(rows, config, order_by, **options).write.mode("overwrite").parquet(f"{view_path}/version={batch_id}")
+        _write_version(view(rows, config, order_by, **options), view_path, batch_id)
 
     return refresh
 
