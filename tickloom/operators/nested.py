@@ -23,6 +23,6 @@ def explode_values(df: DataFrame, keys: Sequence[str], values: str, name: str, p
 def calendar_spine(df: DataFrame, ts: str, day: str = "day", count: str = "n") -> DataFrame:
     """Every day from the first to the last with its number of rows, 0 on days without any."""
     daily = df.groupBy(F.to_date(ts).alias(day)).agg(F.count(F.lit(1)).alias(count)).filter(F.col(day).isNotNull())
-    ends = df.agg(F.to_date(F.min(ts)).alias("__lo"), F.to_date(F.max(ts)).alias("__hi")).filter("__lo IS NOT NULL")
+    ends = daily.agg(F.min(day).alias("__lo"), F.max(day).alias("__hi")).filter("__lo IS NOT NULL")
     days = ends.select(F.explode(F.sequence("__lo", "__hi")).alias(day))
     return days.join(daily, day, "left").select(day, F.coalesce(F.col(count), F.lit(0)).alias(count))

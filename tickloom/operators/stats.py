@@ -16,7 +16,8 @@ def value_shares(df: DataFrame, name: str, categories: DataFrame | None = None,
     ``categories`` lists every possible value in a column of the same name; those that do not occur get 0.
     """
     counts = df.groupBy(name).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1)).alias("total")).scalar()
+    # Added up from the counts, whose shuffle Spark then uses twice.
+    total = counts.agg(F.sum("n").alias("total")).scalar()
     if categories is not None:
         counts = categories.select(name).distinct().join(counts, name, "left")
     n = F.coalesce(F.col("n"), F.lit(0))

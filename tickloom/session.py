@@ -17,6 +17,7 @@ DEFAULTS = {
     # HotSpot leaves methods above 8000 bytes of bytecode uncompiled; beyond that Spark does better
     # with one compiled method per operator than with one interpreted method per stage.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.checkpoint.compress": "true",
     "spark.ui.enabled": "false",
 }
 # The part of them that can be set on a running session.

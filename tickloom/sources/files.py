@@ -49,11 +49,14 @@ def read_csv_checked(
     text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
     reader = spark.read.option("header", "true").option("sep", sep).option("mode", "DROPMALFORMED")
     raw = reader.schema(text).csv(path)
+    typed = [_typed(f, timestamp_format, date_format).alias(f"__typed_{i}") for i, f in enumerate(schema.fields)]
+    # Out of a generator the converted row is a value: a filter on the flag does not repeat the work.
+    rows = raw.select("*", F.inline(F.array(F.struct(*typed))))
     bad = F.lit(False)
-    for field in schema.fields:
-        bad = bad | (F.col(field.name).isNotNull() & _typed(field, timestamp_format, date_format).isNull())
-    columns = [_typed(f, timestamp_format, date_format).alias(f.name) for f in schema.fields]
-    return raw.select(*columns, bad.alias(flag))
+    for i, field in enumerate(schema.fields):
+        bad = bad | (F.col(field.name).isNotNull() & F.col(f"__typed_{i}").isNull())
+    columns = [F.col(f"__typed_{i}").alias(f.name) for i, f in enumerate(schema.fields)]
+    return rows.select(*columns, bad.alias(flag))
 
 
 def read_csv_typed(

@@ -21,7 +21,8 @@ def decode_json(df: DataFrame, schema: T.StructType, value: str = "value", keep:
     lenient = T.StructType([*schema.fields, T.StructField(_CORRUPT, T.StringType())])
     text = F.col(value).cast("string")
     parsed = F.from_json(text, lenient, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
-    rows = df.select(*keep, text.alias("__text"), parsed.alias("__row"))
+    # Out of a generator the parsed row is a value: a filter on it does not repeat the parsing.
+    rows = df.select(*keep, text.alias("__text"), F.explode(F.array(parsed)).alias("__row"))
     bad = F.col("__row").isNull() | F.col(f"__row.{_CORRUPT}").isNotNull()
     fields = [F.when(~bad, F.col("__row")[f.name]).alias(f.name) for f in schema.fields]
     return rows.select(*keep, *fields, bad.alias("rejected"), F.when(bad, F.col("__text")).alias("rejected_text"))
