@@ -177,6 +177,28 @@ def test_lookup_defaults_and_union(spark):
         tables.enforce_schema(df, dim.schema)
 
 
+def test_lookup_side_is_measured(spark, monkeypatch):
+    def hinted(dim):
+        return "broadcast" in tables.small_side(dim)._jdf.queryExecution().analyzed().toString().lower()
+
+    df = spark.range(100).select((F.col("id") % 7).alias("k"))
+    dim = spark.range(5).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
+    assert hinted(dim)
+    small = tables.lookup_join(df, dim, "k", {"v": -1}).collect()
+    monkeypatch.setattr(tables, "BROADCAST_ROWS", 4)
+    assert not hinted(dim)
+    large = tables.lookup_join(df, dim, "k", {"v": -1})
+    assert sorted(map(tuple, large.collect())) == sorted(map(tuple, small)) and len(small) == 100
+    monkeypatch.setattr(tables, "BROADCAST_ROWS", 100)
+    monkeypatch.setattr(tables, "BROADCAST_BYTES", 10)
+    assert not hinted(dim)
+
+
+def test_json_ready(spark):
+    df = spark.createDataFrame([(1 << 40, float("inf"), "x")], "n long, v double, t string").withColumn("at", F.timestamp_micros(F.lit(1)))
+    assert tuple(tables.json_ready(df).first()) == (float(1 << 40), None, "x", "1970-01-01T00:00:00.000001")
+
+
 def test_slices_add_up(spark):
     df = spark.range(3000).select("id", (F.col("id") % 97).alias("qty"), (1 + F.col("id") % 10).alias("n"))
     out = fills.order_slices(df, "qty", "n", "id")

@@ -5,7 +5,8 @@ a large part of the table. Here a key with more than ``rows_per_slice`` rows is
 its order column; a window then runs per (key, slice), and the little that has to cross a slice
 border (a count, a last value) comes from a summary with one row per slice of a long key. Both the
 list of long keys and the summary hold at most a few times ``rows / rows_per_slice`` rows, which is
-what bounds the broadcasts below.
+what bounds the broadcasts below: raise ``rows_per_slice`` with the table so that they stay below a few
+million. Where no key is long, Spark finds the broadcasts empty and drops the rest of this at run time.
 """
 
 from __future__ import annotations

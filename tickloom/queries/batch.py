@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.functions.draws import key_unit
 from tickloom.operators import bars, fills, nested, ordering, outages, parts, points, series, stats, tables
 from tickloom.queries.registry import money, query, table
 from tickloom.queries.views import as_doubles

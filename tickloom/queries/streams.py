@@ -156,7 +156,7 @@ def stop_at(spark, folder):
 def played_events(spark, folder, columns, frames=5, files=4):
     """The events published frame by frame, and the stream that reads them one frame per batch.
 
-    A fifth of the table is a frame, whatever its size, so a frame is several files.
+    A frame is a fixed part of the table, whatever its size, and so several files.
     """
     events = columns(table(spark, folder, "events"))
     chunk = -(-events.count() // frames)
@@ -181,8 +181,8 @@ def file_replay_source(spark, folder):
 
 @query(OUTAGES_SQL)
 def mask_outages_stream_batches(spark, folder):
-    """The masking of ``mask_outages`` over a stream in five batches."""
-    stream = played_events(spark, folder, with_trigger)
+    """The masking of ``mask_outages`` over a stream in three batches."""
+    stream = played_events(spark, folder, with_trigger, frames=3)
     masked = mask_outages_stream(stream, "user_id", ["ts"], "trigger", ["value"])
     return collected(masked).select("event_id", "value", "status")
 
