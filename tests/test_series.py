@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tickloom.functions.draws import key_hash
 from tickloom.operators import ordering, outages, parts, series
 
 
@@ -135,6 +136,29 @@ def test_latest_n_reads_from_the_needed_day(spark):
     assert [r["id"] for r in ordering.latest_n(rows, "id", 2, ["t"]).collect()] == [999, 998]
 
 
+@pytest.mark.parametrize("column", ["v", "t", "d"])
+@pytest.mark.parametrize("direction", ["asc", "desc"])
+def test_many_first_rows(spark, column, direction):
+    n = F.col("id")
+    rows = spark.range(60_000).select(
+        "id", F.when(n % 97 != 0, F.when(n % 501 == 0, float("nan")).otherwise((n * 7919 % 10_007).cast("double"))).alias("v"),
+        F.timestamp_seconds(n % 5000).alias("t"), F.date_add(F.lit("2000-01-01").cast("date"), (n % 300).cast("int")).alias("d"),
+    )
+    order = [(column, direction), "id"]
+    want = [r["id"] for r in ordering.sort_multi(rows, order).limit(2000).collect()]
+    assert [r["id"] for r in ordering.head(rows, 2000, order).collect()] == want
+
+
+def test_large_sample(spark):
+    rows = spark.range(50_000)
+    want = [r["id"] for r in rows.orderBy(key_hash("id"), "id").limit(2500).collect()]
+    narrowed = ordering.sample_n(rows, 2500, "id")
+    assert [r["id"] for r in narrowed.collect()] == want
+    assert "Filter" in narrowed._jdf.queryExecution().optimizedPlan().toString()
+    same = ordering.sample_n(rows.select(F.lit(1).alias("id")), 1500, "id")
+    assert same.count() == 1500
+
+
 def test_equal_parts(spark):
     df = spark.createDataFrame([(1000, 3), (2, 5), (7, 1), (9, 0)], "total long, k int")
     out = parts.equal_parts(df, "total", "k").orderBy("total", "part_no")

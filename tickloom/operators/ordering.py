@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.functions.draws import key_hash
+from tickloom.functions.draws import HASH_RANGE, key_hash
+from tickloom.operators.series import ordinal
 from tickloom.session import durable
 
 Order = str | tuple[str, str]
@@ -51,13 +53,48 @@ def latest_n(df: DataFrame, ts: str, n: int, tie: Sequence[str] = ()) -> DataFra
     return df.orderBy(F.col(ts).desc_nulls_last(), *[F.col(t).desc_nulls_last() for t in tie]).limit(n)
 
 
+# Up to this many rows Spark's own top-k is fine, where every task sends its first n to one task.
+TOP_ROWS = 1000
+
+
+def _narrowed(df: DataFrame, order: Order, n: int) -> DataFrame:
+    """``df`` without rows that cannot be among the first ``n``, found from an estimated quantile.
+
+    Two jobs read the order column. The bound is checked: unless ``n`` rows lie within it, all are kept.
+    """
+    name, direction = (order, "asc") if isinstance(order, str) else order
+    if not isinstance(df.schema[name].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return df
+    position = ordinal(df, name)
+    total = df.count()
+    if total < 10 * n:
+        return df
+    share = 2 * n / total + 1e-4
+    quantile = F.percentile_approx(position, share if direction == "asc" else 1 - share, 10_000)
+    bound = df.agg(quantile.alias("b")).first()["b"]
+    if bound is None:
+        return df
+    kept = df.filter(position <= F.lit(bound) if direction == "asc" else position >= F.lit(bound))
+    return kept if kept.count() >= n else df
+
+
 def head(df: DataFrame, n: int, order: Sequence[Order] = ()) -> DataFrame:
     """The first ``n`` rows, by ``order`` if one is given."""
-    return (sort_multi(df, order) if order else df).limit(n)
+    if not order:
+        return df.limit(n)
+    rows = _narrowed(df, order[0], n) if n > TOP_ROWS else df
+    return sort_multi(rows, order).limit(n)
 
 
 def sample_n(df: DataFrame, n: int, key: str) -> DataFrame:
     """``n`` rows picked by the hash of a unique key: the same ones every time."""
+    if n > TOP_ROWS:
+        # Hashes are even, so the bound is known from the row count; it is checked all the same.
+        total = df.count()
+        if total > 10 * n:
+            bound = math.ceil(HASH_RANGE * (n + 10 * math.sqrt(n)) / total)
+            few = df.filter(key_hash(key) < F.lit(bound).cast("bigint"))
+            df = few if few.count() >= n else df
     return df.orderBy(key_hash(key), F.col(key)).limit(n)
 
 
