@@ -4,12 +4,13 @@ Each step of the network reads one word: a vector for the word joined with the m
 (three to five bytes with marks for both ends), so that unseen words with known parts count too. A text is read in
 overlapping windows, every one of them is scored, and the text has the score of its worst window. Only documents are
 labelled, not windows, so training alternates: the worst windows of toxic documents serve as toxic examples for the next
-round, windows of clean documents as clean ones. A final logistic step turns a document's worst logit into a probability.
+round, windows of clean documents as clean ones; the first guess goes by log odds of words and n-grams. A final logistic step turns a document's worst logit into a probability.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +26,7 @@ ship(__name__)
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 WINDOW, STRIDE = 32, 24  # words
-PER_CLASS = (8000, 1600)  # bound of the training sample: clean and toxic documents
+PER_CLASS = (5000, 1500)  # bound of the training sample: clean and toxic documents
 MAX_CHARS = 6000
 WORDS, GRAMS = 1 << 13, 1 << 14  # hashed rows of word vectors and of n-gram vectors
 DIMENSIONS = 8  # of either
@@ -54,17 +55,17 @@ def word_parts(words: list[str]) -> Parts:
     row = np.fromiter((zlib.crc32(b) % WORDS for b in bare), np.int64, len(bare))
     data = np.frombuffer(b"".join(b"<" + b + b">" for b in bare), np.uint8).astype(np.uint32)
     lengths = np.fromiter((len(b) + 2 for b in bare), np.int64, len(bare))
-    of = np.repeat(np.arange(len(bare)), lengths)
+    of = np.repeat(np.arange(len(bare), dtype=np.int32), lengths)
     grams, owners = [], []
     mixed = data * np.uint32(0x9E3779B1)
     for n in range(2, 6):
         mixed = (mixed[:-1] * np.uint32(0x85EBCA77)) ^ (data[n - 1:] * np.uint32(0xC2B2AE3D))
         if n >= 3 and len(mixed):
             inside = of[:len(mixed)] == of[n - 1:]
-            grams.append(((mixed * np.uint32(0x27D4EB2F)) >> np.uint32(18))[inside].astype(np.int64))
+            grams.append(((mixed * np.uint32(0x27D4EB2F)) >> np.uint32(18))[inside].astype(np.int32))
             owners.append(of[:len(mixed)][inside])
-    gram = np.concatenate(grams) if grams else np.empty(0, np.int64)
-    owner = np.concatenate(owners) if owners else np.empty(0, np.int64)
+    gram = np.concatenate(grams) if grams else np.empty(0, np.int32)
+    owner = np.concatenate(owners) if owners else np.empty(0, np.int32)
     order = np.argsort(owner, kind="stable")  # three sorted runs to merge
     gram, owner = gram[order], owner[order]
     return Parts(row, gram, owner, np.maximum(np.bincount(owner, minlength=len(bare)), 1).astype(np.float32))
@@ -85,7 +86,7 @@ def start_weights(seed: int = 3) -> dict[str, np.ndarray]:
         return rng.normal(0, scale, shape).astype(np.float32)
 
     made = {
-        "word": normal(WORDS, DIMENSIONS, scale=0.3), "gram": normal(GRAMS, DIMENSIONS, scale=0.5),
+        "word": normal(WORDS, DIMENSIONS, scale=0.02), "gram": normal(GRAMS, DIMENSIONS, scale=0.02),
         "attend": normal(2 * HIDDEN, ATTENTION, scale=0.3), "attend_bias": np.zeros(ATTENTION, np.float32),
         "query": normal(ATTENTION, scale=0.5), "out": normal(2 * HIDDEN, scale=0.3), "out_bias": np.zeros(1, np.float32),
     }
@@ -220,9 +221,9 @@ def cut(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     of = np.repeat(np.arange(len(size)), count)
     within = (np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)) * STRIDE
     lengths = np.minimum(size[of] - within, WINDOW)
-    joined = np.concatenate([*sequences, np.zeros(WINDOW, np.int64)]).astype(np.int64)
+    joined = np.concatenate([*sequences, np.zeros(WINDOW, np.int32)]).astype(np.int32)
     begins = (np.cumsum(size) - size)[of] + within
-    return joined[begins[:, None] + np.arange(WINDOW)] if len(begins) else np.empty((0, WINDOW), np.int64), lengths, of
+    return joined[begins[:, None] + np.arange(WINDOW)] if len(begins) else np.empty((0, WINDOW), np.int32), lengths, of
 
 
 class Tables:
@@ -336,6 +337,23 @@ def _calibrated(logits: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
+def _log_odds(sequences: list[np.ndarray], labels: np.ndarray, parts_of: Callable[[np.ndarray], Parts], prior: float = 4.0) -> dict[str, np.ndarray]:
+    """For each hashed row of words and n-grams the log of how much more often toxic documents have it than clean ones.
+
+    A few documents' worth of chance (``prior``) is added, so rows of rare words stay near 0.
+    """
+    counts = {"word": np.zeros((2, WORDS)), "gram": np.zeros((2, GRAMS))}
+    for words, label in zip(sequences, labels):
+        if len(words):
+            parts = parts_of(np.unique(words))
+            counts["word"][int(label), np.unique(parts.word)] += 1
+            counts["gram"][int(label), np.unique(parts.gram)] += 1
+    share = np.array([(labels == 0).mean(), (labels == 1).mean()])[:, None]
+    size = np.array([(labels == 0).sum(), (labels == 1).sum()])[:, None]
+    rates = {k: (c + prior * share) / (size + prior * share) for k, c in counts.items()}
+    return {k: np.log(r[1] / r[0]).astype(np.float32) for k, r in rates.items()}
+
+
 def train(texts: list[str], labels: np.ndarray, rounds: int = 5, steps: int = 140, batch: int = 192, rate: float = 0.01, seed: int = 11) -> ToxicityModel:
     """Learn from documents with labels 0 and 1. Without both classes every text gets the share of toxic ones (0.0 for none)."""
     labels = np.asarray(labels, float)
@@ -344,12 +362,14 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 5, steps: int = 14
         return ToxicityModel(weights, 0.0, 20.0 if len(labels) and labels.max() else -20.0)
     rng = np.random.default_rng(seed)
     vocabulary: dict[str, int] = {}
-    sequences = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], np.int64) for t in texts]
+    sequences = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], np.int32) for t in texts]
     words = list(vocabulary) or [""]
+    del vocabulary
     index, lengths, of = cut(sequences)
     toxic = labels[of] > 0
-    every = word_parts(words)
-    gram, bounds = every.gram, np.concatenate([[0], np.cumsum(np.bincount(every.owner, minlength=len(words)))])
+    every, count = word_parts(words), len(words)
+    del words
+    gram, bounds = every.gram, np.concatenate([[0], np.cumsum(np.bincount(every.owner, minlength=count))])
 
     def parts_of(rows: np.ndarray) -> Parts:
         size = bounds[rows + 1] - bounds[rows]
@@ -357,8 +377,15 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 5, steps: int = 14
         place = np.repeat(bounds[rows] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
         return Parts(every.word[rows], gram[place], owner, np.maximum(size, 1).astype(np.float32))
 
+    odds = _log_odds(sequences, labels, parts_of)
+    for name, start in odds.items():
+        weights[name][:, 0] += np.float32(0.5) * start
+    # The first guess at the window that makes a document toxic is the one with the most telling words.
+    telling = odds["word"][every.word] + np.bincount(every.owner, odds["gram"][every.gram], minlength=count) / every.count
+    spoken = np.where(np.arange(WINDOW) < lengths[:, None], np.maximum(telling, 0)[index], 0).sum(axis=1)
+    best = worst(spoken.astype(np.float32), of, len(labels))
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in weights.items()}
-    bad, clean, hard = np.flatnonzero(toxic), np.flatnonzero(~toxic), np.flatnonzero(~toxic)
+    bad, clean, hard = np.flatnonzero(toxic & (spoken >= best[of])), np.flatnonzero(~toxic), np.flatnonzero(~toxic)
     step = 0
     for turn in range(rounds):
         for _ in range(steps):
