@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
 from collections.abc import Callable, Iterator, Sequence
@@ -31,12 +32,17 @@ ship(__name__)
 
 
 def kept_in_worker(key: tuple, make: Callable[[], object]) -> object:
-    """What ``make`` gives, once per Python worker process, so that later tasks find warm caches; one entry per kind."""
+    """What ``make`` gives, kept in the Python worker process so that later tasks find warm caches.
+
+    A worker keeps one such thing: the caches of one operator go before another's are made.
+    """
     store = sys.modules.setdefault("_tickloom_worker", types.ModuleType("_tickloom_worker")).__dict__
-    kind, number = key
-    if store.get(kind, (None,))[0] != number:
-        store[kind] = (number, make())
-    return store[kind][1]
+    if store.get("key") != key:
+        store.pop("kept", None)
+        gc.unfreeze()
+        gc.collect()
+        store.update(key=key, kept=make())
+    return store["kept"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -288,8 +288,8 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", distan
     # An id that only one row has names that row; the rows of other ids have to be told apart by their texts.
     lone = keys.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.sum("n").alias("n")).filter("n = 1").select("doc_id")
     sole = stored(winners.join(lone, "doc_id", "left_semi").select(F.col("doc_id").alias("__sole")), "sole-winners")
-    side = small_side(sole)
-    kept = docs.join(side, docs[doc_id] == side["__sole"], "left_semi")
+    # The ids grow with the documents, so the join is a shuffle of the texts at any size.
+    kept = docs.join(sole.hint("merge"), docs[doc_id] == sole["__sole"], "left_semi")
     shared = winners.join(sole, winners["doc_id"] == sole["__sole"], "left_anti")
     if shared.isEmpty():
         return kept

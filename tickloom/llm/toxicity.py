@@ -32,7 +32,7 @@ WORDS, GRAMS = 1 << 13, 1 << 14  # hashed rows of word vectors and of n-gram vec
 DIMENSIONS = 8  # of either
 HIDDEN = 8  # per direction
 ATTENTION = 8
-CACHED_WORDS = 300_000
+CACHED_WORDS = 150_000
 TEXT_WORDS = 1 << 16  # a longer text is read in stretches of so many words, which overlap like windows
 
 
