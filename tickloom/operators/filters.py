@@ -68,7 +68,7 @@ def require_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
 # How a market-data provider words its errors, with the reason to report.
 ERROR_PATTERNS = (
     (r'"Information":\s*".*rate limit.*premium.*"', "rate limit"),
-    (r'"Error*":\s*".*"', "error"),
+    (r'"Error[^"]*"\s*:', "error"),
 )
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator, Sequence
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -93,7 +94,8 @@ def _changes(batch: pa.RecordBatch, keys: Sequence[str]) -> np.ndarray:
 
 
 def _zeroed(column: pa.Array, masked: pa.Array) -> pa.Array:
-    return pc.if_else(masked, pa.scalar(0).cast(column.type), column)
+    zero = pa.scalar(Decimal(0), column.type) if pa.types.is_decimal(column.type) else pa.scalar(0).cast(column.type)
+    return pc.if_else(masked, zero, column)
 
 
 def mask_outages(

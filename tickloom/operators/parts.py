@@ -44,10 +44,12 @@ def random_parts(
 ) -> DataFrame:
     """Split ``total`` over the rows of each group in proportion to ``weight``, in whole numbers.
 
-    The last row by ``order`` (unique within the group) takes what rounding leaves over.
+    The last row by ``order`` (unique within the group) takes what rounding leaves over, all of it if the weights add up
+    to 0. A null weight counts as 0.
     """
     sums = group_totals(df, keys, {"__sum": F.sum(weight), "__last": F.max(order)}, rows_per_slice)
-    exact = F.col(weight).cast("double") / F.col("__sum").cast("double") * F.col(total).cast("double")
+    share = F.try_divide(F.col(weight).cast("double"), F.col("__sum").cast("double"))
+    exact = F.coalesce(share, F.lit(0.0)) * F.col(total).cast("double")
     rounded = sums.withColumn("__part", F.bround(exact, 0).cast("bigint")).withColumn(
         "__is_last", F.col(order) == F.col("__last")
     )

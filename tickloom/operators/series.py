@@ -160,7 +160,7 @@ def previous_value(
     if rows_per_slice is None:
         return df.withColumn(name, F.lag(value).over(Window.partitionBy(*keys).orderBy(*order)))
     cut = sliced(df, keys, order[0], rows_per_slice)
-    at = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    at = F.struct(*order)  # a null in a plain column would be passed over
     lasts = _summary(cut, keys, F.max_by(F.col(value), at).alias("__last"))
     by_slice = Window.partitionBy(*keys).orderBy(SLICE)
     carry = lasts.select(*keys, SLICE, F.lag("__last").over(by_slice).alias("__before"))

@@ -13,13 +13,17 @@ from tickloom.operators.points import mean as mean_of
 def value_shares(df: DataFrame, name: str, categories: DataFrame | None = None, digits: int = 4) -> DataFrame:
     """Rows per value and their percentage of all rows.
 
-    ``categories`` lists every possible value in a column of the same name; those that do not occur get 0.
+    ``categories`` lists values in a column of the same name that are shown even if they do not occur, with 0. Values
+    that it does not list, and null, keep their share.
     """
     counts = df.groupBy(name).agg(F.count(F.lit(1)).alias("n"))
     # Added up from the counts, whose shuffle Spark then uses twice.
     total = counts.agg(F.sum("n").alias("total")).scalar()
     if categories is not None:
-        counts = categories.select(name).distinct().join(counts, name, "left")
+        listed = categories.select(F.col(name).alias("__listed")).distinct().withColumn("__shown", F.lit(True))
+        joined = counts.join(listed, counts[name].eqNullSafe(listed["__listed"]), "full_outer")
+        # Null is a value too, so the side that has a row decides, not the value.
+        counts = joined.select(F.when(F.col("n").isNull(), F.col("__listed")).otherwise(F.col(name)).alias(name), "n")
     n = F.coalesce(F.col("n"), F.lit(0))
     share = F.round(F.try_divide(F.lit(100.0) * n, total.cast("double")), digits)
     return counts.select(name, n.alias("n"), F.coalesce(share, F.lit(0.0)).alias("percent"))

@@ -264,6 +264,7 @@ def view(
     names = [LEVEL, *group_by]
     if split and layout == "columns":
         values = list(splits) if splits is not None else split_values(base, split_by[0])
+        labels = _labels(values)
         cells = []
         for v in values:
             mine = F.col("__s").isNull() if v is None else F.col("__s") == F.lit(v)
@@ -271,15 +272,17 @@ def view(
                 cell = F.max(F.when(mine, F.col(f"__m{i}")))
                 # A group without rows for a value counts 0 of them; its other cells are null.
                 cell = F.coalesce(cell, F.lit(0)) if m.how == "count" else cell
-                cells.append(cell.alias(f"{_label(v)}|{m.column}"))
+                cells.append(cell.alias(f"{labels[v]}|{m.column}"))
         result = result.groupBy(LEVEL, *keys).agg(*cells) if cells else result.select(LEVEL, *keys).distinct()
-        shown = [f"{_label(v)}|{m.column}" for v in values for m in measures]
+        shown = [f"{labels[v]}|{m.column}" for v in values for m in measures]
         result = result.select(LEVEL, *keys, *[q(c) for c in shown])
     else:
-        shown = [_free_name(m.column, m.how, names) for m in measures]
-        if split:
-            names = [*names, split_by[0]]
-            shown = [_free_name(m.column, m.how, names) for m in measures]
+        names = [*names, split_by[0]] if split else names
+        shown: list[str] = []
+        plain = {m.column for m in measures if m.column not in names}
+        for m in measures:
+            others = plain if m.column in names else set()
+            shown.append(_free_name(m.column, m.how, [*names, *shown, *others]))
         result = result.select(LEVEL, *keys, *split, *[F.col(f"__m{i}").alias(s) for i, s in enumerate(shown)])
     result = result.toDF(*names, *shown)
     if sort:
@@ -296,10 +299,18 @@ def _sort_columns(sort: Sequence[tuple[str, str]]) -> list[Column]:
     return [q(n).asc_nulls_last() if d == "asc" else q(n).desc_nulls_last() for n, d in sort]
 
 
-def _label(value) -> str:
-    return "null" if value is None else str(value)
+def _labels(values: Sequence) -> dict:
+    """Split values as text; a real null beside a text "null" gets underscores."""
+    labels = {v: str(v) for v in values if v is not None}
+    null = "null"
+    while null in labels.values():
+        null += "_"
+    return {**labels, None: null}
 
 
 def _free_name(column: str, how: str, taken: Sequence[str]) -> str:
-    """A grouped column shown as a measure too is told apart by its aggregate."""
-    return f"{column}_{how}" if column in taken else column
+    """A grouped column shown as a measure too is told apart by its aggregate, and by underscores if that is taken."""
+    name = f"{column}_{how}" if column in taken else column
+    while name in taken:
+        name += "_"
+    return name

@@ -16,10 +16,13 @@ def day_text(name):
 # --- joins and sets --------------------------------------------------------------------------------
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("""
+    SELECT c_custkey, c_name FROM customer
+    WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE month(o_orderdate) = 3)""")
 def anti_new_keys(spark, folder):
     customers = table(spark, folder, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
-    fresh = tables.anti_new_keys(customers, table(spark, folder, "orders"), "o_custkey")
+    march = table(spark, folder, "orders").filter(F.month("o_orderdate") == 3)
+    fresh = tables.anti_new_keys(customers, march, "o_custkey")
     return fresh.withColumnRenamed("o_custkey", "c_custkey")
 
 

@@ -80,7 +80,7 @@ def decode_json_array(spark, folder):
     packed = table(spark, folder, "events").groupBy(F.expr("event_id div 50").alias("pack")).agg(
         F.to_json(F.collect_list(rows)).alias("value")
     )
-    return messages.decode_json_array(packed, EVENT_FIELDS)
+    return messages.accepted(messages.decode_json_array(packed, EVENT_FIELDS))
 
 
 @query("SELECT event_id, user_id, ts, CASE WHEN event_type = 'view' THEN NULL ELSE event_type END AS event_type, value FROM events")
@@ -126,6 +126,20 @@ def write_csv(spark, folder):
     return files.read_csv_typed(spark, path, events.schema, sep=";", timestamp_format=files.TIMESTAMP_PATTERN)
 
 
+@query("""
+    SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN NULL WHEN 2 THEN '  edge, "quoted" ' ELSE '' END
+        || CASE WHEN doc_id % 5 = 0 THEN '' ELSE text END AS text, n_chars FROM documents""")
+def csv_texts(spark, folder):
+    """Whole texts with line breaks, quotes, spaces at both ends, empty ones and nulls, through CSV and back."""
+    path = scratch_path(spark, "texts") + ".csv"
+    mark = F.col("doc_id") % 5
+    start = F.when(mark == 1, F.lit(None)).when(mark == 2, '  edge, "quoted" ').otherwise("")
+    docs = table(spark, folder, "documents")
+    texts = docs.select("doc_id", F.concat(start, F.when(mark == 0, "").otherwise(F.col("text"))).alias("text"), "n_chars")
+    files.write_file(texts, path)
+    return files.read_csv_typed(spark, path, texts.schema)
+
+
 @query("SELECT event_id, ts, CASE WHEN event_type = 'view' THEN NULL ELSE value END AS value FROM events")
 def write_ndjson(spark, folder):
     path = scratch_path(spark, "events") + ".ndjson"

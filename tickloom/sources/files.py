@@ -10,6 +10,9 @@ from pyspark.sql import types as T
 
 from tickloom.functions.scalars import NUMBER_PATTERN, slug, to_int_fill, to_numeric_coerce
 
+CORRUPT = "__corrupt"
+# Cells as other programs write them: quotes doubled, spaces kept, an empty text told from null by its quotes.
+CSV_CELLS = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 TIMESTAMP_PATTERN = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 
@@ -40,19 +43,24 @@ def read_csv_checked(
     timestamp_format: str | None = None,
     date_format: str | None = None,
     flag: str = "rejected",
+    encoding: str = "UTF-8",
+    multi_line: bool = True,
 ) -> DataFrame:
-    """CSV with a header as declared types and a flag on rows with a value that does not fit.
+    """CSV with a header as declared types and a flag on rows with a value that does not fit, or too few or many cells.
 
-    The file is read as text and converted here: Spark's own check looks only at the columns a query
-    uses, so whether a row counts as bad would depend on the query. gzip is recognised by file name.
+    Quotes within a quoted cell are doubled, cells may hold line breaks, spaces count, and a quoted empty cell is an
+    empty text where a bare one is null. The file is read as text and converted here: Spark's own check looks only at
+    the columns a query uses, so whether a row counts as bad would depend on the query. gzip is recognised by file name.
+    A file whose cells hold no line breaks can be split between tasks with ``multi_line=False``.
     """
-    text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
-    reader = spark.read.option("header", "true").option("sep", sep).option("mode", "DROPMALFORMED")
-    raw = reader.schema(text).csv(path)
+    text = T.StructType([*[T.StructField(f.name, T.StringType()) for f in schema.fields], T.StructField(CORRUPT, T.StringType())])
+    # A bare empty cell is read as this null mark, which no text holds, so that it differs from a quoted one.
+    settings = {**CSV_CELLS, "nullValue": "\0", "emptyValue": "", "sep": sep, "encoding": encoding, "multiLine": str(multi_line).lower(), "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    raw = spark.read.option("header", "true").options(**settings).schema(text).csv(path)
     typed = [_typed(f, timestamp_format, date_format).alias(f"__typed_{i}") for i, f in enumerate(schema.fields)]
     # Out of a generator the converted row is a value: a filter on the flag does not repeat the work.
     rows = raw.select("*", F.inline(F.array(F.struct(*typed))))
-    bad = F.lit(False)
+    bad = F.col(CORRUPT).isNotNull()
     for i, field in enumerate(schema.fields):
         bad = bad | (F.col(field.name).isNotNull() & F.col(f"__typed_{i}").isNull())
     columns = [F.col(f"__typed_{i}").alias(f.name) for i, f in enumerate(schema.fields)]
@@ -66,9 +74,10 @@ def read_csv_typed(
     sep: str = ",",
     timestamp_format: str | None = None,
     date_format: str | None = None,
+    **layout: str | bool,
 ) -> DataFrame:
-    """CSV with a header and declared types; a row with a value that does not fit is left out."""
-    rows = read_csv_checked(spark, path, schema, sep, timestamp_format, date_format, "__rejected")
+    """CSV with a header and declared types; a row that does not fit is left out."""
+    rows = read_csv_checked(spark, path, schema, sep, timestamp_format, date_format, "__rejected", **layout)
     return rows.filter(~F.col("__rejected")).drop("__rejected")
 
 
@@ -105,7 +114,7 @@ def write_csv(
 ) -> None:
     """Every file gets the header, so appended files read back as one table."""
     writer = df.write.mode(mode).option("header", "true").option("sep", sep).option("lineSep", line_sep)
-    writer = writer.option("encoding", encoding).option("timestampFormat", timestamp_format)
+    writer = writer.options(**CSV_CELLS, emptyValue='""', nullValue="").option("encoding", encoding).option("timestampFormat", timestamp_format)
     writer.option("timestampNTZFormat", timestamp_format).csv(path)
 
 

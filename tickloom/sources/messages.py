@@ -37,9 +37,23 @@ def rejected(decoded: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
 
 def decode_json_array(df: DataFrame, schema: T.StructType, value: str = "value", keep: Sequence[str] = ()) -> DataFrame:
-    """Parse messages that hold an array of rows, one row out per element; a single object counts as one."""
-    rows = F.from_json(F.col(value).cast("string"), T.ArrayType(schema))
-    return df.select(*keep, F.inline(rows))
+    """Parse messages that hold an array of rows, one row out per element; a single object counts as one.
+
+    A message that does not parse, or that has an element which does not fit, gives one row with ``rejected`` true, null
+    fields and its text. ``accepted`` and ``rejected`` part the result.
+    """
+    lenient = T.StructType([*schema.fields, T.StructField(_CORRUPT, T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
+    text = F.col(value).cast("string")
+    listed = F.when(F.ltrim(text).startswith("{"), F.concat(F.lit("["), text, F.lit("]"))).otherwise(text)
+    parsed = F.transform(F.from_json(listed, "array<string>"), lambda x: F.from_json(x, lenient, options))
+    held = df.select(*keep, text.alias("__text"), F.explode(F.array(F.struct(parsed.alias("rows")))).alias("__held"))
+    rows = F.col("__held.rows")
+    bad = rows.isNull() | F.exists(rows, lambda x: x.isNull() | x[_CORRUPT].isNotNull())
+    none = F.array(F.lit(None).cast(lenient))
+    each = held.select(*keep, "__text", bad.alias("rejected"), F.explode(F.when(bad, none).otherwise(rows)).alias("__row"))
+    fields = [F.col("__row")[f.name].alias(f.name) for f in schema.fields]
+    return each.select(*keep, *fields, "rejected", F.when(F.col("rejected"), F.col("__text")).alias("rejected_text"))
 
 
 def encode_json(df: DataFrame, value: str = "value", keep: Sequence[str] = (), timestamp_format: str = ISO_PATTERN) -> DataFrame:
