@@ -31,6 +31,7 @@ DEGREE = 24
 WIDTH = 96  # candidates that a graph walk holds
 REPLICAS = 4
 NEARLY = 1.10  # a vector also joins centroids up to this ratio of its least distance
+APART = 0.1  # least gap to the centroids a vector has joined, as a share of its distance
 RATIO = 1.25  # a query searches lists up to this ratio of its least distance
 BLOCK_ROWS = 4096
 QUERY_EVERY = 20
@@ -45,14 +46,15 @@ class Index:
 
 
 def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
-    """(vec_id, v) of rows with an id and a vector of finite numbers, not all zero."""
-    plain = vectors.select("vec_id", F.col(column).cast("array<double>").alias("v"))
+    """(vec_id, v) of rows with an id and a vector of finite numbers, not all zero; floats stay floats."""
+    kind = "array<float>" if vectors.select(column).dtypes[0][1] == "array<float>" else "array<double>"
+    plain = vectors.select("vec_id", F.col(column).cast(kind).alias("v"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     return plain.filter(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False)))
 
 
 def squared_length(v: Column) -> Column:
-    return F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)
+    return F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
 
 
 def lifted(rows: np.ndarray, length: float) -> np.ndarray:
@@ -174,7 +176,7 @@ def _listed(vectors: DataFrame, index: Index, name: str, queries: bool) -> DataF
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                flat = part.column(1).flatten().to_numpy(zero_copy_only=False)
+                flat = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(float)
                 rows = flat.reshape(part.num_rows, -1)
                 ids, dist = walk(index, as_queries(rows, index.length) if queries else lifted(rows, index.length))
                 if queries:
@@ -187,11 +189,11 @@ def _listed(vectors: DataFrame, index: Index, name: str, queries: bool) -> DataF
                     pa.array(ids[row, place].astype(np.int32)), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)),
                 ], names=["list", name, "v"])
 
-    return vectors.select("vec_id", "v").mapInArrow(assign, f"list int, {name} long, v array<double>")
+    return vectors.select("vec_id", "v").mapInArrow(assign, f"list int, {name} long, v {vectors.dtypes[1][1]}")
 
 
 def _spread(centroids: np.ndarray, ids: np.ndarray, dist: np.ndarray) -> np.ndarray:
-    """Lists of each vector: the nearest, and nearly as near ones that are not closer to one already chosen."""
+    """Lists of each vector: the nearest, and nearly as near ones, unless their centroid all but meets one chosen before."""
     chosen = np.zeros(ids.shape, bool)
     chosen[:, 0] = True
     count = np.ones(len(ids), np.int64)
@@ -201,7 +203,7 @@ def _spread(centroids: np.ndarray, ids: np.ndarray, dist: np.ndarray) -> np.ndar
         if not len(rows):
             continue
         gaps = np.linalg.norm(centroids[ids[rows, :k]] - centroids[ids[rows, k]][:, None, :], axis=2)
-        crowded = (chosen[rows, :k] & (gaps < dist[rows, k][:, None])).any(axis=1)
+        crowded = (chosen[rows, :k] & (gaps < APART * dist[rows, k][:, None])).any(axis=1)
         chosen[rows[~crowded], k] = True
         count[rows[~crowded]] += 1
     return chosen
@@ -232,7 +234,7 @@ def _searched(postings: DataFrame, queries: DataFrame, lists: int, k: int, block
         if len(vectors) and len(asked):
             ids, names = vectors["vec_id"].to_numpy(), asked["query_id"].to_numpy()
             order = np.argsort(ids, kind="stable")
-            ids, v, q = ids[order], np.stack(vectors["v"].to_numpy())[order], np.stack(asked["v"].to_numpy())
+            ids, v, q = ids[order], np.stack(vectors["v"].to_numpy()).astype(float)[order], np.stack(asked["v"].to_numpy()).astype(float)
             for a in range(0, len(q), 256):
                 scores = q[a:a + 256] @ v.T
                 scores[names[a:a + 256, None] == ids] = -np.inf
