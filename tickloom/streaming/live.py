@@ -129,7 +129,11 @@ def rolling_view(
 
 
 def dedupe_overlap(stream: DataFrame, ts: str, keys: Sequence[str], delay: str = "10 seconds") -> DataFrame:
-    """Each key once, although overlapping polls deliver it several times within ``delay``."""
+    """Each key once, although overlapping polls deliver it several times within ``delay``.
+
+    Rows that arrive later than ``delay`` after newer ones are dropped, first-time ones too: choose it so that no poll
+    reaches farther back.
+    """
     timed = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
     return timed.dropDuplicatesWithinWatermark(list(keys))
 
