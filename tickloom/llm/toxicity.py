@@ -382,8 +382,8 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 5, steps: int = 14
         weights[name][:, 0] += np.float32(0.5) * start
     # The first guess at the window that makes a document toxic is the one with the most telling words.
     telling = odds["word"][every.word] + np.bincount(every.owner, odds["gram"][every.gram], minlength=count) / every.count
-    spoken = np.where(np.arange(WINDOW) < lengths[:, None], np.maximum(telling, 0)[index], 0).sum(axis=1)
-    best = worst(spoken.astype(np.float32), of, len(labels))
+    spoken = np.where(np.arange(WINDOW) < lengths[:, None], np.maximum(telling, 0)[index], 0).sum(axis=1).astype(np.float32)
+    best = worst(spoken, of, len(labels))
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in weights.items()}
     bad, clean, hard = np.flatnonzero(toxic & (spoken >= best[of])), np.flatnonzero(~toxic), np.flatnonzero(~toxic)
     step = 0
