@@ -8,7 +8,7 @@ from tickloom.operators.filters import filter_eq
 from tickloom.queries.batch import OUTAGES_SQL, with_trigger
 from tickloom.queries.registry import mean_sql, money, query, table, view_sql
 from tickloom.queries.views import as_doubles
-from tickloom.session import list_dir, scratch_path
+from tickloom.session import scratch_path
 from tickloom.sources import replay
 from tickloom.streaming import live
 from tickloom.streaming.outages import mask_outages_stream
@@ -78,10 +78,15 @@ def bounded_table(spark, folder):
 
 @query("SELECT event_id, ts, value FROM events")
 def dedupe_overlap(spark, folder):
-    """Every event arrives twice and is kept once."""
-    twice = event_stream(spark, folder).union(event_stream(spark, folder)).select("event_id", "ts", "value")
-    once = live.dedupe_overlap(twice, "ts", ["event_id"], "1 hour")
-    return collected(once).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    """Every event arrives again half an hour later, often in a later one of six batches, and is kept once."""
+    def polled(events):
+        late = F.explode(F.array(F.lit(0), F.lit(30)))
+        twice = events.select("event_id", F.col("ts").alias("event_ts"), "value", late.alias("minutes"))
+        return twice.withColumn("ts", F.col("event_ts") + F.make_dt_interval(mins=F.col("minutes")))
+
+    stream = played_events(spark, folder, polled, frames=6, order=["ts", "event_id", "minutes"])
+    once = live.dedupe_overlap(stream, "event_ts", ["event_id"], "1 hour")
+    return collected(once).select("event_id", F.col("event_ts").cast("timestamp_ntz").alias("ts"), "value")
 
 
 @query(view_sql(
@@ -90,13 +95,12 @@ def dedupe_overlap(spark, folder):
     {"value": mean_sql("price"), "ts": "max(ts) {f}"},
 ))
 def rolling_view(spark, folder):
-    """The live table after a full replay holds everything; the view is over its last day."""
-    path = scratch_path(spark, "live")
-    total = table(spark, folder, "events").count()
-    stream = event_stream(spark, folder).withColumn("value", money("value"))
-    run(stream, live.bounded_table(path, [("ts", "desc")], total))
+    """The stream is stored by day; the view reads the folders of its last day."""
+    path = scratch_path(spark, "days")
+    stream = batches(spark, event_files(spark, folder), table(spark, folder, "events").schema).withColumn("value", money("value"))
+    run(stream, live.day_sink(path, "ts"))
     config = {"group_by": ["event_type"], "columns": ["value", "ts"], "aggregates": {"value": "mean", "ts": "last"}}
-    return live.rolling_view(live.read_snapshot(spark, path), "ts", "1d", config, ["ts"])
+    return live.rolling_view(live.read_days(spark, path), "ts", "1d", config, ["ts"], day="day")
 
 
 @query("""
@@ -118,15 +122,18 @@ def _plain_windows(windows):
     SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end,
         event_type, count(*) AS n, sum(value::DECIMAL(18,2))::DOUBLE AS total FROM events GROUP BY ALL""")
 def event_time_windows(spark, folder):
-    """Files come in time order; the last full result of the stream is returned."""
-    stream = batches(spark, event_files(spark, folder), table(spark, folder, "events").schema)
+    """Batches come in time order and a row a day after the last event closes its windows; that row's own stays open."""
+    def closed(events):
+        kept = events.select("event_id", "ts", "event_type", "value")
+        last = kept.agg(F.max("ts").alias("ts")).filter("ts IS NOT NULL")
+        closing = last.select((F.col("ts") + F.make_dt_interval(days=F.lit(1))).alias("ts"))
+        return kept.unionByName(closing, allowMissingColumns=True)
+
+    stream = played_events(spark, folder, closed)
     windows = live.event_time_windows(
         stream, "ts", "1 hour", ["event_type"], {"n": F.count(F.lit(1)), "total": F.sum(money("value"))}, "10 seconds"
     )
-    path = scratch_path(spark, "windows")
-    run(windows, live.parquet_sink(path), "complete")
-    last = max(int(n.split("=")[1]) for n in list_dir(spark, path))
-    return as_doubles(_plain_windows(spark.read.schema(windows.schema).parquet(f"{path}/batch_id={last}")))
+    return as_doubles(_plain_windows(collected(windows)))
 
 
 REPLAY_CHUNK = 1000
@@ -153,17 +160,17 @@ def stop_at(spark, folder):
     return framed.select("event_id", "frame")
 
 
-def played_events(spark, folder, columns, frames=5, files=4):
+def played_events(spark, folder, columns, frames=5, files=4, order=("ts", "event_id")):
     """The events published frame by frame, and the stream that reads them one frame per batch.
 
     A frame is a fixed part of the table, whatever its size, and so several files.
     """
     events = columns(table(spark, folder, "events"))
     chunk = -(-events.count() // frames)
-    framed = replay.replay_table(events, ["ts", "event_id"], chunk, "2024-06-01", "250ms").drop("replay_ts")
+    framed = replay.replay_table(events, order, chunk, "2024-06-01", "250ms").drop("replay_ts")
     stored, target = scratch_path(spark, "frames"), scratch_path(spark, "published")
-    replay.write_frames(framed, stored, ["ts", "event_id"])
-    replay.play_frames(spark, stored, target, ["ts", "event_id"], files=files)
+    replay.write_frames(framed, stored, order)
+    replay.play_frames(spark, stored, target, order, files=files)
     return replay.file_replay_source(spark, target, spark.read.parquet(target).schema, files)
 
 

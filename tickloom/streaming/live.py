@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tickloom.functions.spans import latest
+from tickloom.functions.spans import column_type, instant, latest, span_interval
 from tickloom.operators.filters import Moment, range_filter
 from tickloom.operators.ordering import Order, sort_multi
 from tickloom.operators.tables import anti_new_keys
@@ -56,6 +56,21 @@ def parquet_sink(path: str) -> Sink:
     return write
 
 
+def day_sink(path: str, ts: str, day: str = "day") -> Sink:
+    """A sink as :func:`parquet_sink`, with a folder per day of ``ts`` in each batch's folder."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        dated = batch.withColumn(day, F.to_date(ts))
+        dated.write.mode("overwrite").partitionBy(day).parquet(f"{path}/batch_id={batch_id}")
+
+    return write
+
+
+def read_days(spark: SparkSession, path: str) -> DataFrame:
+    """What a :func:`day_sink` stored, with ``batch_id`` and the day as folder columns."""
+    return spark.read.option("basePath", path).parquet(f"{path}/batch_id=*")
+
+
 # --- the live table -------------------------------------------------------------------------------
 
 
@@ -118,11 +133,23 @@ def live_view(
 
 
 def rolling_view(
-    table: DataFrame, ts: str, span: str, config: Mapping, order_by: Sequence[str] = (), as_of: Moment = None, **options
+    table: DataFrame, ts: str, span: str, config: Mapping, order_by: Sequence[str] = (), as_of: Moment = None,
+    day: str | None = None, **options,
 ) -> DataFrame:
-    """A view over the last ``span`` before ``as_of``, by default the newest row's time."""
-    moment = latest(table, ts) if as_of is None else as_of
-    return view(range_filter(table, ts, f"-{span.lstrip('-')}", as_of=moment), config, order_by, **options)
+    """A view over the last ``span`` before ``as_of``, by default the newest row's time.
+
+    ``day`` names a folder column that holds the date of ``ts``: then older days are not read at all.
+    """
+    back = f"-{span.lstrip('-')}"
+    moment = as_of
+    if moment is None:
+        newest = table if day is None else table.filter(F.col(day) == F.lit(table.agg(F.max(day)).first()[0]))
+        moment = latest(newest, ts)
+    rows = range_filter(table, ts, back, as_of=moment)
+    if day is not None:
+        first = (instant(moment, column_type(table, ts)) + span_interval(back)).cast("date")
+        rows = rows.filter(F.col(day) >= first)
+    return view(rows, config, order_by, **options)
 
 
 # --- event time -------------------------------------------------------------------------------
@@ -147,7 +174,10 @@ def event_time_windows(
     delay: str = "10 seconds",
     slide: str | None = None,
 ) -> DataFrame:
-    """Aggregates per window of event time; rows later than ``delay`` behind the newest are dropped."""
+    """Aggregates per window of event time; rows later than ``delay`` behind the newest are dropped.
+
+    In append mode a window comes out once, when the newest row is ``delay`` past its end, and its state goes with it.
+    """
     timed = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
     window = F.window(ts, width, slide) if slide else F.window(ts, width)
     rows = timed.groupBy(window, *series).agg(*[a.alias(n) for n, a in aggregates.items()])
