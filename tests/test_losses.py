@@ -4,9 +4,12 @@ import decimal
 
 import pandas as pd
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.operators import filters, outages, parts, series, stats
+from tickloom.operators import filters, outages, parts, points, series, stats
+from tickloom.operators.tables import lookup_join
 from tickloom.plans.view import view
 from tickloom.sources import files, messages
 
@@ -74,3 +77,22 @@ def test_view_names_stay_apart(spark):
 def test_decimal_readings_are_blanked():
     column = pa.array([decimal.Decimal("1.50"), decimal.Decimal("2.50")], pa.decimal128(18, 2))
     assert outages._zeroed(column, pa.array([True, False])).to_pylist() == [decimal.Decimal("0.00"), decimal.Decimal("2.50")]
+
+
+def test_points_come_back_as_they_were(spark):
+    rows = [(1, "a", 5, 1.5), (2, None, 7, None), (3, "", None, 2.0)]
+    df = spark.createDataFrame(rows, "t int, name string, n long, v double").withColumn("at", F.timestamp_seconds("t"))
+    long = points.to_points(df, "m", "at", [], ["name", "n", "v"], extra=["t"])
+    typed = points.pivot_fields(long, ["t"], {"name": "string", "n": "bigint", "v": "double"})
+    assert sorted(map(tuple, typed.collect())) == rows
+    found = points.pivot_fields(long.withColumn("o", F.lit(1)), ["t"], order="o").select("t", "name", "n", "v")
+    assert sorted(map(tuple, found.collect())) == rows
+    with pytest.raises(ValueError):
+        points.pivot_fields(long, ["t"], limit=2)
+
+
+def test_lookup_with_repeated_keys_does_not_multiply_rows(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, None)], "id int, k string")
+    dim = spark.createDataFrame([("a", "y"), ("a", "x"), ("b", None), (None, "n")], "k string, v string")
+    found = lookup_join(df, dim, "k", {"v": "none"}).orderBy("id").collect()
+    assert [(r["id"], r["v"]) for r in found] == [(1, "x"), (2, "none"), (3, "none"), (4, "none")]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,29 +61,45 @@ def field_names(points: DataFrame, field: str = "_field", limit: int = MAX_FIELD
     return sorted(r[0] for r in rows if r[0] is not None)
 
 
+def field_types(points: DataFrame, field: str = "_field", text: str = "_svalue", limit: int = MAX_FIELDS) -> dict[str, str]:
+    """The fields and whether they hold text or numbers; more than ``limit`` are an error."""
+    kinds = points.groupBy(field).agg(F.count(text).alias("texts")).filter(F.col(field).isNotNull())
+    rows = kinds.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} distinct values in {field}")
+    return {r[field]: "string" if r["texts"] else "double" for r in sorted(rows, key=lambda r: r[field])}
+
+
 def pivot_fields(
     points: DataFrame,
     row_key: Sequence[str],
-    fields: Sequence[str] | None = None,
+    fields: Sequence[str] | Mapping[str, str] | None = None,
     field: str = "_field",
     value: str = "_value",
     order: str | None = None,
+    text: str = "_svalue",
+    limit: int = MAX_FIELDS,
 ) -> DataFrame:
     """Points back to wide rows: one per ``row_key`` (the time and the tags), one column per field.
 
-    Of several points for a field the newest by ``order`` counts, without one the largest value.
-    Naming the fields saves a job.
+    Of several points for a field the newest by ``order`` counts, without one the largest value. ``fields`` maps names to
+    types: ``string`` comes from the column ``text``, every other type is cast from ``value`` (longs are exact up to
+    2**53, as a point holds a double). A list of names means numbers. Naming the fields saves a job; without names, a field
+    with any text is text, and more than ``limit`` fields are an error.
     """
-    names = list(fields) if fields is not None else field_names(points, field)
+    if fields is None:
+        fields = field_types(points, field, text, limit) if text in points.columns else field_names(points, field, limit)
+    types = dict(fields) if isinstance(fields, Mapping) else {name: None for name in fields}
 
-    def cell(name: str) -> Column:
-        mine = F.col(field) == name
+    def cell(name: str, kind: str | None) -> Column:
+        held = F.when(F.col(field) == name, F.col(text if kind == "string" else value))
         if order is None:
-            return F.max(F.when(mine, F.col(value))).alias(name)
-        newest = F.max(F.when(mine, F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))
-        return newest["v"].alias(name)
+            found = F.max(held)
+        else:
+            found = F.max(F.when(F.col(field) == name, F.struct(F.col(order).alias("o"), held.alias("v"))))["v"]
+        return (found if kind in (None, "string") else found.cast(kind)).alias(name)
 
-    return points.groupBy(*row_key).agg(*[cell(n) for n in names])
+    return points.groupBy(*row_key).agg(*[cell(n, k) for n, k in types.items()])
 
 
 def mean(c: Column) -> Column:

@@ -45,12 +45,14 @@ def small_side(dim: DataFrame) -> DataFrame:
 
 
 def lookup_join(df: DataFrame, dim: DataFrame, on: str, defaults: Mapping[str, Column | object]) -> DataFrame:
-    """Left lookup of columns in a table with one row per key, with a default where there is no match.
+    """Left lookup of columns in a table by key, with a default where there is no match or a null.
 
+    Rows never multiply: of several rows for a key the smallest counts, compared column by column.
     A table measured to be small is broadcast, so the rows stay where they are however few keys they
     have. A larger one is joined by key, with Spark splitting skewed partitions at run time.
     """
-    side = small_side(dim.select(F.col(on).alias("__lookup"), *[F.col(c).alias(f"__found_{c}") for c in defaults]))
+    row = F.min(F.struct(*[F.col(c).alias(f"__found_{c}") for c in defaults])).alias("__row")
+    side = small_side(dim.groupBy(F.col(on).alias("__lookup")).agg(row).select("__lookup", "__row.*"))
     joined = df.join(side, df[on] == side["__lookup"], "left")
     kept = [c for c in df.columns if c not in defaults]
     found = [

@@ -71,6 +71,17 @@ def pivot_fields(spark, folder):
     return points.pivot_fields(long, ["l_returnflag", "l_linestatus", *keys, "_time_ns"], PRICE_FIELDS)
 
 
+@query("SELECT o_orderkey, o_orderpriority, o_orderstatus, o_custkey, o_totalprice FROM orders")
+def points_round_trip(spark, folder):
+    """Orders to points and back: text, whole numbers and prices as they were."""
+    fields = {"o_orderstatus": "string", "o_custkey": "bigint", "o_totalprice": "double"}
+    orders = table(spark, folder, "orders")
+    long = points.to_points(orders, "orders", "o_orderdate", ["o_orderpriority"], list(fields), extra=["o_orderkey"])
+    kind = orders.schema["o_custkey"].dataType
+    wide = points.pivot_fields(long, ["o_orderkey", "o_orderpriority", "_time"], fields).drop("_time")
+    return wide.withColumn("o_custkey", F.col("o_custkey").cast(kind))
+
+
 @query("""
     SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS ts,
         sum(value::DECIMAL(18,2))::DOUBLE / count(value) AS value FROM events GROUP BY ALL""")
