@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -127,6 +127,7 @@ class Desk:
 
 # Draws of a child row, by slot.
 (TRADER, DESK, VENUE, FUND, BENCHMARK, TYPE, STATUS, FLIP, SECOND, SPREAD, MID, SLIP, MARGIN, PART) = range(14)
+PREFERRED = {"trader": TRADER, "desk": DESK, "exec_venue": VENUE, "fund": FUND, "benchmark_index": BENCHMARK}
 
 
 def fills_from_bars(
@@ -138,6 +139,7 @@ def fills_from_bars(
     extras: bool = False,
     number: bool = True,
     rows_per_slice: int | None = None,
+    preferences: Mapping[str, DataFrame] | None = None,
 ) -> DataFrame:
     """Daily bars to fills: the change in volume becomes a parent order, cut into priced child orders.
 
@@ -148,7 +150,13 @@ def fills_from_bars(
 
     A symbol has at most one row per day, which bounds its series, so long ones are not looked for
     unless ``rows_per_slice`` says so.
+
+    ``preferences`` maps a column of ``PREFERRED`` to a table with a symbol and its arrays ``choices`` and ``weights``, as
+    for :func:`weighted_assign_by`. Symbols that it lacks draw evenly from ``desk``.
     """
+    unknown = set(preferences or {}) - set(PREFERRED)
+    if unknown:
+        raise ValueError(f"no preferences for {sorted(unknown)}")
     require_columns(bars, ["date", "symbol", "high", "low", "close", "volume"])
     has = set(bars.columns)
     name = F.col("name") if "name" in has else F.lit(None).cast("string")
@@ -180,6 +188,8 @@ def fills_from_bars(
     else:
         timed = timed.withColumn("trade_id", F.lit(None))
     priced = _priced(with_draws(timed, "__key", PART + 1, "__d"), desk)
+    for column, table in (preferences or {}).items():
+        priced = _preferred(priced, table, column)
     costed = execution_costs(priced, trader_rates, venue_rates, qty="order_qty")
     table = costed.withColumn("fill_value", F.col("qty") * F.col("price"))
     schema = FILLS_SCHEMA
@@ -189,6 +199,13 @@ def fills_from_bars(
     return enforce_schema(table, schema)
 
 
+def _preferred(drawn: DataFrame, preferences: DataFrame, column: str) -> DataFrame:
+    """``column`` drawn by the weights of the row's symbol, with the draw that it had; else as it is."""
+    joined = lookup_join(drawn, preferences, "symbol", {"choices": F.lit(None), "weights": F.lit(None)})
+    picked = weighted_from_arrays("choices", "weights", as_unit(F.col(f"__d{PREFERRED[column]}")))
+    return joined.withColumn(column, F.coalesce(picked, F.col(column))).select(drawn.columns)
+
+
 def _priced(drawn: DataFrame, desk: Desk) -> DataFrame:
     """Child rows with their draws to orders with choices, quotes and prices."""
 

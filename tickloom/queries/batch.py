@@ -492,6 +492,35 @@ def fill_prices(spark, folder):
     )
 
 
+# Per column: symbol, choices, weights. The other symbols draw evenly.
+PREFERENCES = {
+    "trader": (("1-URGENT", ("Bo", "Ada"), (3.0, 1.0)), ("5-LOW", ("Cy", "Bo", "Ada"), (2.0, 1.0, 1.0))),
+    "exec_venue": (("1-URGENT", ("ARCX", "XNAS"), (7.0, 1.0)), ("2-HIGH", ("XNYS",), (1.0,))),
+    "fund": (("3-MEDIUM", ("Value", "Growth"), (5.0, 3.0)),),
+}
+
+
+def _preferred_sql(column):
+    slot = fills.PREFERRED[column]
+    cases = " ".join(
+        f"WHEN '{symbol}' THEN {_chain_sql([repr(c) for c in choices], weights, _U[slot]) if len(choices) > 1 else repr(choices[0])}"
+        for symbol, choices, weights in PREFERENCES[column]
+    )
+    return f"CASE symbol {cases} ELSE {column} END AS {column}"
+
+
+@query(FILLS_SQL[:FILLS_SQL.index("numbered AS")] + f"""chosen AS (
+    SELECT symbol, event_ts, CAST(order_qty AS INTEGER) AS order_qty, {", ".join(map(_preferred_sql, PREFERENCES))} FROM drawn)
+    SELECT * FROM chosen""")
+def fill_preferences(spark, folder):
+    """Fills whose trader, venue and fund follow the weights of their symbol."""
+    schema = "symbol string, choices array<string>, weights array<double>"
+    tables = {c: spark.createDataFrame([(s, list(n), list(w)) for s, n, w in rows], schema) for c, rows in PREFERENCES.items()}
+    found = _fills(spark, daily_bars(spark, folder), number=False, preferences=tables)
+    ts = F.col("event_ts").cast("timestamp_ntz").alias("event_ts")
+    return found.select("symbol", ts, "order_qty", *PREFERENCES)
+
+
 # --- outages -----------------------------------------------------------------------------------------
 
 OUTAGES_SQL = """
