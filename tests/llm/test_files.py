@@ -10,6 +10,7 @@ import oracle
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
@@ -167,6 +168,22 @@ def test_nearest_vectors(spark):
     assert hits >= 0.9 * 20 * len(asked)
 
 
+def test_every_list_within_the_ratio_is_searched(spark):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(6000, 64))
+    v = np.round(v / np.linalg.norm(v, axis=1, keepdims=True), 3)
+    vectors = spark.createDataFrame([(k, x) for k, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    rows = vector_search.usable(vectors)
+    index, _ = vector_search.fit(rows, 8)
+    queries = vector_search.as_queries(v[::600], index.length)
+    dist = np.linalg.norm(queries[:, None] - index.centroids[None], axis=2)
+    want = (dist <= vector_search.RATIO * dist.min(axis=1, keepdims=True)).sum(axis=1)
+    assert len(index.centroids) == 750 and want.max() > vector_search.WIDTH
+    found = vector_search._listed(rows.filter("vec_id % 600 = 0"), index, "query_id", True)
+    lists = {r[0]: r[1] for r in found.groupBy("query_id").agg(F.sum(F.length(F.regexp_replace(F.conv(F.hex("lists"), 16, 2), "0", "")))).collect()}
+    assert [lists[q] for q in range(0, 6000, 600)] == pytest.approx(want, abs=1)
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (None, [1.0, 1.0]),

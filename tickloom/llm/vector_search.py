@@ -3,9 +3,11 @@
 Inner products become distances by one more component, sqrt(M^2 - |x|^2) with M the largest length, and 0 for queries,
 which are scaled to length M. Balanced halving of a sample gives the centroids, of which there is a bounded number. They
 are joined into a neighbour graph that each task holds in memory. Vectors go to the list of their nearest centroid, and
-boundary vectors also to others that are nearly as near, in different directions. A query walks the graph to its nearest
-centroids and searches those lists whose centroid is within a ratio of the nearest one's distance. Lists are cut into
-blocks of bounded size, and so are the queries of a list; each pair of blocks is one matrix product.
+boundary vectors also to others that are nearly as near, in different directions; a walk of the graph finds them. A query
+is compared with all centroids and searches every list whose centroid is within a ratio of the nearest one's distance,
+however many these are. Neighbouring lists form cells, of which there are at most CELLS, and a vector or query goes once to
+each cell it has lists in, with a bit per list. Cells are cut into blocks of bounded size, and so are the queries of a
+cell; each pair of blocks is one matrix product.
 """
 
 from __future__ import annotations
@@ -28,12 +30,13 @@ LIST_ROWS = 128  # vectors per centroid, as long as there are fewer than MAX_CEN
 MAX_CENTROIDS = 8192
 SAMPLE_PER_CENTROID = 40
 DEGREE = 24
-WIDTH = 96  # candidates that a graph walk holds
+WIDTH = 96  # candidates that the graph walk of a vector holds
+CELLS = 64
 REPLICAS = 4
 NEARLY = 1.10  # a vector also joins centroids up to this ratio of its least distance
 APART = 0.1  # least gap to the centroids a vector has joined, as a share of its distance
 RATIO = 1.25  # a query searches lists up to this ratio of its least distance
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 16_384
 QUERY_EVERY = 20
 
 
@@ -170,26 +173,55 @@ def fit(vectors: DataFrame, list_rows: int = LIST_ROWS, max_centroids: int = MAX
     return Index(centroids, links, entry, length), row["n"]
 
 
+def _per_cell(lists: int) -> int:
+    return -(-lists // CELLS)
+
+
+def searched_lists(index: Index, rows: np.ndarray) -> np.ndarray:
+    """Whether each query, as :func:`as_queries` makes them, searches each list."""
+    size, own = (index.centroids * index.centroids).sum(axis=1), (rows * rows).sum(axis=1, keepdims=True)
+    dist = np.sqrt(np.maximum(size - 2 * rows @ index.centroids.T + own, 0))
+    return dist <= RATIO * dist.min(axis=1, keepdims=True) + 1e-9
+
+
+def _packed(member: np.ndarray, per: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Rows and cells that have any of their ``per`` lists, and these as bits."""
+    count, lists = member.shape
+    cells = -(-lists // per)
+    member = np.pad(member, ((0, 0), (0, cells * per - lists))).reshape(count, cells, per)
+    row, cell = np.nonzero(member.any(axis=2))
+    bits = np.packbits(member[row, cell], axis=1)
+    ends = np.arange(len(row) + 1, dtype=np.int32) * bits.shape[1]
+    return row, cell, pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(ends), pa.py_buffer(bits.tobytes())])
+
+
+def _unpacked(bits: pd.Series, per: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(b"".join(bits), np.uint8).reshape(len(bits), -1), axis=1, count=per).astype(np.float32)
+
+
 def _listed(vectors: DataFrame, index: Index, name: str, queries: bool) -> DataFrame:
-    """(list, id, v) rows: the lists a vector joins, or those a query searches."""
+    """(cell, id, lists, v) rows: the lists a vector joins, or those a query searches."""
+    per = _per_cell(len(index.centroids))
+
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
                 flat = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(float)
                 rows = flat.reshape(part.num_rows, -1)
-                ids, dist = walk(index, as_queries(rows, index.length) if queries else lifted(rows, index.length))
                 if queries:
-                    chosen = dist <= RATIO * dist[:, :1] + 1e-9
+                    member = searched_lists(index, as_queries(rows, index.length))
                 else:
-                    ids, dist = ids[:, :8 * REPLICAS], dist[:, :8 * REPLICAS]
-                    chosen = _spread(index.centroids, ids, dist)
-                row, place = np.nonzero(chosen)
+                    ids, dist = (x[:, :8 * REPLICAS] for x in walk(index, lifted(rows, index.length)))
+                    row, place = np.nonzero(_spread(index.centroids, ids, dist))
+                    member = np.zeros((len(rows), len(index.centroids)), bool)
+                    member[row, ids[row, place]] = True
+                row, cell, bits = _packed(member, per)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(ids[row, place].astype(np.int32)), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)),
-                ], names=["list", name, "v"])
+                    pa.array(cell.astype(np.int32)), part.column(0).take(pa.array(row)), bits, part.column(1).take(pa.array(row)),
+                ], names=["cell", name, "lists", "v"])
 
-    return vectors.select("vec_id", "v").mapInArrow(assign, f"list int, {name} long, v {vectors.dtypes[1][1]}")
+    return vectors.select("vec_id", "v").mapInArrow(assign, f"cell int, {name} long, lists binary, v {vectors.dtypes[1][1]}")
 
 
 def _spread(centroids: np.ndarray, ids: np.ndarray, dist: np.ndarray) -> np.ndarray:
@@ -209,22 +241,40 @@ def _spread(centroids: np.ndarray, ids: np.ndarray, dist: np.ndarray) -> np.ndar
     return chosen
 
 
-def _blocks(rows: DataFrame, lists: int, block: int) -> Column:
-    """How many blocks each list has, as an array by list number; one count per list comes to the driver."""
-    counts = [1] * lists
-    for r in rows.groupBy("list").count().collect():
-        counts[r["list"]] = -(-r["count"] // block)
+def _blocks(rows: DataFrame, block: int) -> Column:
+    """How many blocks each cell has, as an array by cell number; one count per cell comes to the driver."""
+    counts = [1] * CELLS
+    for r in rows.groupBy("cell").count().collect():
+        counts[r["cell"]] = -(-r["count"] // block)
     return F.array(*[F.lit(c) for c in counts])
 
 
+def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the ``k`` largest finite scores of each row, equal ones from the left."""
+    if scores.shape[1] <= k:
+        return np.nonzero(np.isfinite(scores))
+    least = np.partition(scores, -k, axis=1)[:, -k:].min(axis=1, keepdims=True)
+    row, place = np.nonzero((scores >= least) & np.isfinite(scores))
+    above = scores[row, place] > least[row, 0]
+    ties = np.cumsum(~above)
+    first = np.searchsorted(row, np.arange(len(scores)))
+    before = np.concatenate([[0], ties])[first]
+    room = k - np.bincount(row[above], minlength=len(scores))
+    taken = above | (ties - before[row] <= room[row])
+    return row[taken], place[taken]
+
+
 def _searched(postings: DataFrame, queries: DataFrame, lists: int, k: int, block: int) -> DataFrame:
-    """(query_id, vec_id, score): the best of every pair of a block of a list and a block of its queries."""
-    list_blocks, query_blocks = _blocks(postings, lists, block), _blocks(queries, lists, block)
+    """(query_id, vec_id, score): the best of every pair of a block of a cell and a block of its queries.
+
+    A query is compared with those vectors of the block that share a list with it.
+    """
+    list_blocks, query_blocks, per = _blocks(postings, block), _blocks(queries, block), _per_cell(lists)
 
     def dealt(rows: DataFrame, own: Column, other: Column, key: str, names: tuple[str, str]) -> DataFrame:
-        at = F.pmod(F.xxhash64(key), F.get(own, F.col("list"))).cast("int")
+        at = F.pmod(F.xxhash64(key), F.get(own, F.col("cell"))).cast("int")
         with_own = rows.withColumn(names[0], at)
-        return with_own.withColumn(names[1], F.explode(F.sequence(F.lit(0), F.get(other, F.col("list")) - 1)))
+        return with_own.withColumn(names[1], F.explode(F.sequence(F.lit(0), F.get(other, F.col("cell")) - 1)))
 
     left = dealt(postings, list_blocks, query_blocks, "vec_id", ("block", "turn"))
     right = dealt(queries, query_blocks, list_blocks, "query_id", ("turn", "block"))
@@ -235,18 +285,19 @@ def _searched(postings: DataFrame, queries: DataFrame, lists: int, k: int, block
             ids, names = vectors["vec_id"].to_numpy(), asked["query_id"].to_numpy()
             order = np.argsort(ids, kind="stable")
             ids, v, q = ids[order], np.stack(vectors["v"].to_numpy()).astype(float)[order], np.stack(asked["v"].to_numpy()).astype(float)
+            has, wants = _unpacked(vectors["lists"], per)[order], _unpacked(asked["lists"], per)
             for a in range(0, len(q), 256):
                 scores = q[a:a + 256] @ v.T
                 scores[names[a:a + 256, None] == ids] = -np.inf
-                top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                found = np.take_along_axis(scores, top, axis=1)
-                row, place = np.nonzero(np.isfinite(found))
+                if not wants[a:a + 256].all():
+                    scores[wants[a:a + 256] @ has.T == 0] = -np.inf
+                row, place = _best(scores, k)
                 out["query_id"].append(names[a + row])
-                out["vec_id"].append(ids[top[row, place]])
-                out["score"].append(found[row, place])
+                out["vec_id"].append(ids[place])
+                out["score"].append(scores[row, place])
         return pd.DataFrame({n: np.concatenate(c) if c else np.empty(0, "f8" if n == "score" else "i8") for n, c in out.items()})
 
-    keys = ["list", "block", "turn"]
+    keys = ["cell", "block", "turn"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, "query_id long, vec_id long, score double")
 
 
@@ -267,12 +318,20 @@ def nearest(vectors: DataFrame, k: int = NEIGHBOURS, every: int = QUERY_EVERY, c
     asked = rows.filter(F.col("vec_id") % every == 0)
     postings = stored(_listed(rows, index, "vec_id", False), "postings")
     queries = stored(_listed(asked, index, "query_id", True), "query-lists")
-    found = stored(_searched(postings, queries, lists, k, block).groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), "found")
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+
+    def ranked(found: DataFrame) -> DataFrame:
+        once = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        return once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+    found = stored(ranked(_searched(postings, queries, lists, k, block)), "found")
     full = found.groupBy("query_id").count().filter(F.col("count") >= k).select(F.col("query_id").alias("__full"))
     short = asked.join(full, asked["vec_id"] == full["__full"], "left_anti").select(F.col("vec_id").alias("query_id"), "v")
-    short = stored(short.withColumn("list", F.explode(F.sequence(F.lit(0), F.lit(lists - 1)))), "short-queries")
+    per = _per_cell(lists)
+    every_list = F.lit(bytes([255] * -(-per // 8)))
+    cells = F.sequence(F.lit(0), F.lit(-(-lists // per) - 1))
+    short = stored(short.select(F.explode(cells).alias("cell"), "query_id", every_list.alias("lists"), "v"), "short-queries")
     if not short.isEmpty():
-        rest = _searched(postings, short, lists, k, block).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-        found = found.unionByName(rest).distinct()
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        rest = _searched(postings, short, lists, k, block)
+        found = ranked(found.select("query_id", "vec_id", "score").unionByName(rest))
+    return found.select("query_id", "rank", "vec_id", "score")
