@@ -59,6 +59,23 @@ def test_language_of_held_out_documents(tables):
     assert np.mean([r["rejected"] for r in rows]) <= 0.02
 
 
+def test_gibberish_and_unlearned_languages_are_rejected(spark, tables):
+    docs, _ = tables
+    held = docs.filter((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0) & F.col("text").rlike(r"\p{L}"))
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 10))) for _ in range(1000)]
+    codes = ["".join(rng.choice(list("0123456789abcdef"), 32)) for _ in range(60)]
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, "
+    far = [" ".join(words[:300]), " ".join(words), " ".join(words[:30]), " ".join(codes), finnish, finnish * 9]
+    # One odd training text changes nothing for its language.
+    odd = spark.createDataFrame([(10**9 + k, lang, "Q") for k in range(9) for lang in ("de", "en", "es", "fr")], "doc_id long, lang string, text string")
+    for model in (language_id.fit(docs), language_id.fit(docs.select("doc_id", "lang", "text").unionByName(odd))):
+        rows = language_id.identify(spark.createDataFrame([(t,) for t in far], "text string"), model).collect()
+        assert [r["rejected"] for r in rows] == [True] * len(far)
+        kept = language_id.identify(held, model).collect()
+        assert np.mean([r["rejected"] for r in kept]) <= 0.002
+
+
 def test_odd_rows_are_scored(spark, tables, toxic_model, quality_model):
     docs = odd_rows(spark)
     for found, name in ((toxicity.score(docs, toxic_model), "toxic_score"), (quality_classifier.score(docs, quality_model), "quality_score")):

@@ -3,7 +3,8 @@
 Texts become normalised TF-IDF vectors over hashed byte n-grams (two and three bytes, ASCII lower-cased). Each language
 is described by several centroids, found by spherical k-means, because one mean would blur its registers. A text gets
 the language of the centroid with the largest cosine; if even that one is farther away than the centroid's own training
-texts are, the text is rejected.
+texts are, the text is rejected. Short texts have small cosines whatever their language, so what is compared is the
+cosine over the root of the number of different n-grams, up to FULL_GRAMS.
 """
 
 from __future__ import annotations
@@ -25,7 +26,10 @@ PER_LANGUAGE = 800  # about so many training texts per language; bounds the samp
 MAX_CHARS = 20_000
 CENTROIDS = 4
 FOLDS = 5
-SLACK = 0.5  # a text is rejected below this share of the smallest cosine that its language had in training
+LOW = 0.01  # quantile of the closeness of a centroid's own training texts
+SLACK = 0.5  # a text is rejected below this share of that quantile
+LEAST_GRAMS = 50  # training texts with fewer different n-grams do not count in the quantile
+FULL_GRAMS = 400
 
 # Letters in lower case and all bytes beyond ASCII stay; digits, marks and white space become a space.
 LETTERS = bytes(b if 97 <= b < 123 or b > 127 else b + 32 if 65 <= b < 91 else 32 for b in range(256))
@@ -36,7 +40,7 @@ class LanguageModel:
     idf: np.ndarray
     centroids: np.ndarray  # one row of unit length each
     names: list[str]  # the language of each centroid
-    floors: np.ndarray  # smallest cosine that each centroid accepts
+    floors: np.ndarray  # least closeness that each centroid accepts
 
 
 def gram_counts(data: np.ndarray, starts: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
@@ -81,6 +85,18 @@ def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
 
 
+def closeness(cosines: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """Cosines of texts with so many different n-grams, made comparable between short and long texts."""
+    return cosines / np.sqrt(np.clip(grams, 1, FULL_GRAMS))
+
+
+def _floors(near: np.ndarray, grams: np.ndarray, nearest: np.ndarray, count: int, slack: float) -> list[float]:
+    """A floor per centroid of a language; one without long enough texts takes that of all texts of the language."""
+    fits = grams >= LEAST_GRAMS if (grams >= LEAST_GRAMS).any() else grams >= 0
+    parts = [fits & (nearest == k) for k in range(count)]
+    return [slack * float(np.quantile(near[p if p.any() else fits], LOW)) for p in parts]
+
+
 def _clusters(vectors: np.ndarray, count: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
     """Spherical k-means; the first centres are texts at even steps of closeness to the mean, so outliers start none."""
     mean = vectors.mean(axis=0)
@@ -102,14 +118,15 @@ def fit_centroids(texts: list[str], langs: list[str], centroids: int = CENTROIDS
     counts = counted(pa.array(texts, pa.string()))
     idf = (np.log((1 + len(texts)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
     vectors, names = weighted(counts, idf), np.array(langs, dtype=object)
+    grams = (counts > 0).sum(axis=1)
     centres, owners, floors = [], [], []
     for lang in sorted(set(langs)):
         own = vectors[names == lang]
-        found, _ = _clusters(own, centroids)
-        least = slack * float(np.max(own @ found.T, axis=1).min())
+        found, nearest = _clusters(own, centroids)
+        near = closeness(np.max(own @ found.T, axis=1), grams[names == lang])
         centres.extend(found)
         owners.extend([lang] * len(found))
-        floors.extend([least] * len(found))
+        floors.extend(_floors(near, grams[names == lang], nearest, len(found), slack))
     return LanguageModel(idf, np.stack(centres).astype(np.float32), owners, np.array(floors))
 
 
@@ -142,30 +159,31 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", prefix:
     """
     letters = fresh(docs, "__letters")
     marked = docs.withColumn(letters, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
-    fields = [(f"{prefix}lang_at", T.IntegerType()), (f"{prefix}lang_score", T.DoubleType())]
+    fields = [(f"{prefix}lang_at", T.IntegerType()), (f"{prefix}lang_score", T.DoubleType()), (f"{prefix}lang_far", T.BooleanType())]
 
     def compute(column: pa.Array) -> list[pa.Array]:
-        at, score = np.full(len(column), -1, np.int32), np.zeros(len(column))
+        at, score, far = np.full(len(column), -1, np.int32), np.zeros(len(column)), np.zeros(len(column), bool)
         if model.names:
             for first, end, parts in packs(column):
-                vectors = weighted(sum(gram_counts(d, s) for d, s in parts), model.idf)
-                cosines = vectors @ model.centroids.T
+                counts = sum(gram_counts(d, s) for d, s in parts)
+                cosines = weighted(counts, model.idf) @ model.centroids.T
                 best = np.argmax(cosines, axis=1)
                 at[first:end], score[first:end] = best, np.clip(cosines[np.arange(end - first), best], 0, 1)
-        return [pa.array(at, pa.int32()), pa.array(score, pa.float64())]
+                near = closeness(score[first:end], (counts > 0).sum(axis=1))
+                far[first:end] = (near < model.floors[best]) | (near <= 0)
+        return [pa.array(at, pa.int32()), pa.array(score, pa.float64()), pa.array(far, pa.bool_())]
 
-    place, near = (fresh(marked, n) for n, _ in fields)
-    made = add_columns(marked, text, [(place, fields[0][1]), (near, fields[1][1])], compute)
+    place, near, far = (fresh(marked, n) for n, _ in fields)
+    made = add_columns(marked, text, list(zip((place, near, far), (kind for _, kind in fields))), compute)
     known = F.col(letters) & (F.col(place) >= 0)
     names = F.array(*[F.lit(n) for n in model.names]) if model.names else F.array(F.lit("und"))
-    floors = F.array(*[F.lit(float(f)) for f in model.floors]) if model.names else F.array(F.lit(0.0))
     kept = [F.col(c) for c in docs.columns]
     return made.select(
         *kept,
         F.when(known, F.get(names, F.col(place))).otherwise("und").alias(f"{prefix}lang_pred"),
         F.when(known, F.col(near)).otherwise(F.lit(0.0)).alias(f"{prefix}score"),
-        (~F.col(letters) | F.coalesce(F.col(near) < F.get(floors, F.col(place)), F.lit(False))).alias(f"{prefix}rejected"),
+        (~F.col(letters) | F.coalesce(F.col(far), F.lit(False))).alias(f"{prefix}rejected"),
     )
 
 
-__all__ = ["LanguageModel", "counted", "fit", "fit_centroids", "gram_counts", "identify", "training_rows", "weighted"]
+__all__ = ["LanguageModel", "closeness", "counted", "fit", "fit_centroids", "gram_counts", "identify", "training_rows", "weighted"]
