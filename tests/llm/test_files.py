@@ -77,7 +77,8 @@ def test_gaps_are_logged_by_the_spark_reader(spark, tmp_path):
 def odd_pages(spark):
     big = "same payload é " * 100
     rows = [(1, "u", big), (2, "u", big), (3, None, None), (4, "http://x/\n", ""), (None, "n", big), (None, "n", "y" * 1000), (None, "n", "y" * 1000),
-            (7, "u", "s" * 999), (8, "u", "s" * 999), (9, "u", "s" * 1000), (10, "u", "s" * 1000), (10, "u", "s" * 1000), (11, "u", "WARC/1.1\r\n\r\n" * 9000)]
+            (7, "u", "s" * 999), (8, "u", "s" * 999), (9, "u", "s" * 1000), (10, "u", "s" * 1000), (10, "u", "s" * 1000), (11, "u", "WARC/1.1\r\n\r\n" * 9000),
+            (12, "data:," + "%20a" * 25_000, "long url")]
     return spark.createDataFrame([(a, b, c, "clash", "clash") for a, b, c in rows], "page_id long, url string, html string, keeper string, kind string")
 
 
@@ -85,13 +86,14 @@ def test_warc_of_odd_pages(spark, tmp_path):
     for compressed in (True, False):
         folder = str(tmp_path / str(compressed))
         rows = warc.read_archives(warc.write_archives(odd_pages(spark), folder, compressed, archive_bytes=2000), folder).collect()
-        assert {r["kind"] for r in rows} == {"record"} and len(rows) == 13
+        assert {r["kind"] for r in rows} == {"record"} and len(rows) == 14
         have = sorted((r["record_id"].split(":")[-1], r["payload_bytes"], r["record_type"], (r["refers_to"] or ":").split(":")[-1]) for r in rows)
         assert have == sorted([
             ("1", 1600, "revisit", "2"), ("2", 1600, "response", ""), ("3", 0, "response", ""), ("4", 0, "response", ""), ("none", 1600, "revisit", "2"),
             ("none", 1000, "response", ""), ("none", 1000, "response", ""), ("7", 999, "response", ""), ("8", 999, "response", ""),
-            ("9", 1000, "revisit", "10"), ("10", 1000, "response", ""), ("10", 1000, "response", ""), ("11", 108_000, "response", ""),
+            ("9", 1000, "revisit", "10"), ("10", 1000, "response", ""), ("10", 1000, "response", ""), ("11", 108_000, "response", ""), ("12", 8, "response", ""),
         ])
+        assert [r["uri"] for r in rows if r["record_id"].endswith(":12")] == ["data:," + "%20a" * 25_000]
     assert warc.round_trip(odd_pages(spark).limit(0)).count() == 0
 
 

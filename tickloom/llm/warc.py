@@ -30,7 +30,6 @@ ship(__name__)
 LEAST_SHARED = 1000  # bytes; smaller payloads are never written as revisits
 ARCHIVE_BYTES = 64 << 20
 READ_BYTES = 1 << 16
-HEADER_BYTES = 1 << 16
 LEVEL = 1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
@@ -168,11 +167,14 @@ def _plain(window: Window, offset: int) -> tuple[int, dict[str, str], bytes]:
     """An uncompressed record: its end, headers and block."""
     if not re.match(rb"WARC/\d+\.\d+\r\n", window.at(offset, 16)):
         raise Damaged("version line")
-    size = 1024
-    while (stop := (head := window.at(offset, size)).find(b"\r\n\r\n")) < 0:
-        if len(head) < size or size >= HEADER_BYTES:
+    # A header may have any length: a url has none that it cannot exceed.
+    size, looked = 1024, 0
+    while (stop := (head := window.at(offset, size)).find(b"\r\n\r\n", looked)) < 0:
+        if len(head) < size:
             raise Damaged("header end")
-        size *= 4
+        if any(b":" not in line for line in head.split(b"\r\n")[1:-1]):
+            raise Damaged("header line")
+        size, looked = size * 4, size - 3
     headers = _headers(head[:stop])
     if not re.fullmatch(r"\d{1,18}", headers.get("content-length", "")):
         raise Damaged("content length")
