@@ -78,15 +78,16 @@ def bounded_table(spark, folder):
 
 @query("SELECT event_id, ts, value FROM events")
 def dedupe_overlap(spark, folder):
-    """Every event arrives again half an hour later, often in a later one of six batches, and is kept once."""
+    """Every event arrives again, often in a later one of six batches that all span the whole time, and is kept once."""
     def polled(events):
         late = F.explode(F.array(F.lit(0), F.lit(30)))
-        twice = events.select("event_id", F.col("ts").alias("event_ts"), "value", late.alias("minutes"))
-        return twice.withColumn("ts", F.col("event_ts") + F.make_dt_interval(mins=F.col("minutes")))
+        twice = events.select("event_id", "ts", "value", late.alias("minutes"))
+        return twice.withColumn("turn", F.xxhash64("event_id", "minutes"))
 
-    stream = played_events(spark, folder, polled, frames=6, order=["ts", "event_id", "minutes"])
-    once = live.dedupe_overlap(stream, "event_ts", ["event_id"], "1 hour")
-    return collected(once).select("event_id", F.col("event_ts").cast("timestamp_ntz").alias("ts"), "value")
+    stream = played_events(spark, folder, polled, frames=6, order=["turn", "event_id", "minutes"])
+    path = scratch_path(spark, "once")
+    run(stream, live.dedupe_overlap(path, "ts", ["event_id"], "1 hour"))
+    return live.read_days(spark, path).select("event_id", "ts", "value")
 
 
 @query(view_sql(

@@ -6,6 +6,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tickloom.functions.spans import column_type, instant, latest, span_interval
@@ -155,14 +156,34 @@ def rolling_view(
 # --- event time -------------------------------------------------------------------------------
 
 
-def dedupe_overlap(stream: DataFrame, ts: str, keys: Sequence[str], delay: str = "10 seconds") -> DataFrame:
-    """Each key once, although overlapping polls deliver it several times within ``delay``.
+def dedupe_overlap(path: str, ts: str, keys: Sequence[str], delay: str = "10 seconds", day: str = "day") -> Sink:
+    """A sink that stores each key once, although overlapping polls deliver it several times.
 
-    Rows that arrive later than ``delay`` after newer ones are dropped, first-time ones too: choose it so that no poll
-    reaches farther back.
+    Nothing is too late: a key that is not stored yet is stored however far back its row lies. The rows lie in folders
+    as of :func:`day_sink`, and of them only the keys of the days within ``delay`` of a batch's rows are read, so the
+    times of rows with one key may differ by ``delay``. Null keys count as equal. A repeated batch replaces itself.
     """
-    timed = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
-    return timed.dropDuplicatesWithinWatermark(list(keys))
+    write = day_sink(path, ts, day)
+    back = span_interval(f"-{delay}")
+
+    def once(batch: DataFrame, batch_id: int) -> None:
+        spark, held = batch.sparkSession, batch.dropDuplicates(list(keys)).persist()
+        try:
+            fresh = held
+            if any(n.startswith("batch_id=") and int(n.split("=", 1)[1]) < batch_id for n in list_dir(spark, path)):
+                near = F.sequence(F.to_date(F.col(ts) + back), F.to_date(F.col(ts) - back))
+                days = [r[0] for r in held.select(F.explode_outer(near)).distinct().collect()]
+                dated = T.StructType([*batch.schema, T.StructField(day, T.DateType()), T.StructField("batch_id", T.LongType())])
+                stored = spark.read.schema(dated).option("basePath", path).parquet(f"{path}/batch_id=*")
+                touched = F.col(day).isin([d for d in days if d is not None]) | (F.col(day).isNull() & F.lit(None in days))
+                known = stored.filter((F.col("batch_id") < batch_id) & touched).select(*[F.col(k).alias(f"__{k}") for k in keys])
+                same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+                fresh = held.join(known, same, "left_anti")
+            write(fresh, batch_id)
+        finally:
+            held.unpersist()
+
+    return once
 
 
 def event_time_windows(
