@@ -1,11 +1,12 @@
 """Operators that learn: held-out accuracy on the given tables, and odd rows."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tickloom.llm import language_id, quality_classifier, toxicity
-from tickloom.llm.common import table
+from tickloom.llm.common import packs, table
 
 FOLDER = "/root/testdata/sf0.1"
 ODD = "doc_id long, text string, lang string, source string, n_chars long, score double, `TEXT_HASH` string"
@@ -153,3 +154,15 @@ def test_prior_estimate():
     rng = np.random.default_rng(2)
     positive, mixed = rng.normal(2, 1, 4000), np.concatenate([rng.normal(2, 1, 6000), rng.normal(-2, 1, 4000)])
     assert quality_classifier.estimate_prior(positive, mixed) == pytest.approx(0.6, abs=0.06)
+
+
+def test_words_and_lines_of_long_texts_count_once():
+    rng = np.random.default_rng(8)
+    lines = [" ".join(f"w{k}" for k in rng.integers(0, 3000, 40)) for _ in range(300)]
+    long_line = "x" * 150_000
+    for text in ("\n".join(lines * 4), "\n".join([*lines, long_line, lines[0], long_line, long_line]), "no " * 60_000, "\n" * 140_000):
+        column = pa.array([text], pa.string())
+        (_, _, parts), = packs(column)
+        assert len(parts) > 1
+        data = np.frombuffer(text.encode(), np.uint8)
+        assert np.array_equal(quality_classifier.long_sums(parts), quality_classifier.sums(data, np.array([0, len(data)])))

@@ -7,6 +7,8 @@ unbiased risk: prior * loss(positives) + max(0, loss(unlabelled as negative) - p
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.llm.common import add_columns, fresh, labelled_sample, packs, remainder, ship, unit_hash
+from tickloom.llm.common import PIECE_BYTES, add_columns, fresh, labelled_sample, packs, remainder, ship, unit_hash
 
 ship(__name__)
 
@@ -68,7 +70,7 @@ def _distinct(owner: np.ndarray, hashes: np.ndarray, texts: int) -> np.ndarray:
 
 
 def sums(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Counts per text, which add up over the parts of a long one."""
+    """Counts per text; for one that comes in several parts see :func:`long_sums`."""
     texts = len(starts) - 1
     out = np.zeros((texts, WIDTH))
     if not len(data):
@@ -96,6 +98,52 @@ def sums(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
+def _whole(parts: list[np.ndarray], ends: np.ndarray) -> Iterator[np.ndarray]:
+    """The bytes of a text, cut only after the bytes that ``ends`` marks."""
+    held = []
+    for part in parts:
+        at = np.flatnonzero(ends[part])
+        cut = at[-1] + 1 if len(at) else 0
+        if cut:
+            yield np.concatenate([*held, part[:cut]])
+            held = []
+        held.append(part[cut:])
+    yield np.concatenate(held)
+
+
+def _counts_of_spans(parts: list[np.ndarray], ends: np.ndarray) -> tuple[int, int, int]:
+    """Spans between the bytes that ``ends`` marks: how many, how many like the one before, how many different ones."""
+    count, again, last, seen, room = 0, 0, None, [], 1 << 20
+    for data in _whole(parts, ends):
+        inside = ~ends[data]
+        if not inside.any():
+            continue
+        begins, stops = _runs(inside, np.zeros(1, np.int64))
+        hashes, long = np.empty(len(begins), np.uint64), stops - begins > PIECE_BYTES
+        hashes[~long] = _hashes(data, begins[~long], stops[~long])
+        for k in np.flatnonzero(long):
+            hashes[k] = int.from_bytes(hashlib.blake2b(data[begins[k]:stops[k]].tobytes(), digest_size=8).digest(), "little")
+        count += len(hashes)
+        again += int((hashes[1:] == hashes[:-1]).sum()) + int(last is not None and hashes[0] == last)
+        last = hashes[-1]
+        seen.append(np.unique(hashes))
+        if sum(map(len, seen)) > room:
+            seen = [np.unique(np.concatenate(seen))]
+            room = 2 * len(seen[0]) + (1 << 20)
+    return count, again, len(np.unique(np.concatenate(seen))) if seen else 0
+
+
+def long_sums(parts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Counts of one text that comes in several parts: words and lines across them count as they would in one."""
+    out, pieces = sum(sums(d, s) for d, s in parts), [d for d, _ in parts if len(d)]
+    for a, b in zip(pieces, pieces[1:]):
+        out[0, CLASSES + CLASS[a[-1]] * CLASSES + CLASS[b[0]]] += 1
+    out[0, -COUNTS:-COUNTS + 3] = _counts_of_spans(pieces, (CLASS == 3) | (CLASS == 4))
+    lines, _, own = _counts_of_spans(pieces, np.arange(256) == 10)
+    out[0, -COUNTS + 3:-COUNTS + 5] = lines, own
+    return out
+
+
 def features(counts: np.ndarray) -> np.ndarray:
     """Shares of the counts, independent of the length of a text but for one column."""
     words, again, distinct, lines, own_lines, size = (counts[:, -COUNTS + k] for k in range(COUNTS))
@@ -106,7 +154,7 @@ def features(counts: np.ndarray) -> np.ndarray:
 
 
 def text_features(column: pa.Array) -> np.ndarray:
-    return np.vstack([features(sum(sums(d, s) for d, s in parts)) for _, _, parts in packs(column)])
+    return np.vstack([features(sums(*parts[0]) if len(parts) == 1 else long_sums(parts)) for _, _, parts in packs(column)])
 
 
 @dataclass
