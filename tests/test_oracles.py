@@ -13,7 +13,7 @@ QUERIES = entry.queries()
 SQL = entry.oracle_sql()
 CORPUS = re.compile(r"op\d+_|pipeline$")  # tested on their own, if they are there
 STREAMS = {"micro_batch", "fan_out", "bounded_table", "dedupe_overlap", "rolling_view", "event_time_windows",
-           "file_replay_source", "mask_outages_stream_batches", "live_view", "incremental_append"}
+           "file_replay_source", "mask_outages_stream_batches", "mask_outages_sink", "live_view", "live_view_kept", "incremental_append"}
 
 
 @pytest.fixture(scope="module")

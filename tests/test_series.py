@@ -91,13 +91,43 @@ def test_busy_period_is_cut_again(spark):
     n = F.col("id")
     at = F.when(n < 5000, n * 1_000_000).otherwise(F.lit(2_000_000_000) + n * 10_000)
     rows = spark.range(10_000).select(F.lit("one").alias("k"), F.timestamp_micros(at).alias("t"), "id")
-    cut = series.sliced(rows, ["k"], "t", 200)
-    sizes = [r["count"] for r in cut.groupBy(series.SLICE).count().collect()]
+    cut = series.sliced(rows, ["k"], ["t"], 200)
+    sizes = [r["count"] for r in cut.rows.groupBy(series.SLICE).count().collect()]
     assert sum(sizes) == 10_000 and max(sizes) <= 200
     out = series.running_id(rows, ["k"], ["t"], 0, "r", 200)
     assert out.withColumn("want", F.row_number().over(by_time())).filter("r <> want").count() == 0
 
 
+@pytest.mark.parametrize("kind", ["one date", "equal moments", "long prefixes", "nulls"])
+def test_slices_of_awkward_orders(spark, kind):
+    """Splitters are places in the whole order, so none of these lie in one slice; none is twice the target."""
+    n, target = F.col("id"), 2000
+    first = {
+        "one date": F.lit("2024-01-01").cast("date"), "equal moments": F.timestamp_seconds(n % 3),
+        "long prefixes": F.concat(F.lit("the same long prefix "), F.lpad((n * 7919 % 60_013).cast("string"), 6, "0")),
+        "nulls": F.when(n % 100 == 0, (n % 7).cast("double")).when(n % 3 == 0, float("nan")),
+    }[kind]
+    rows = spark.range(60_000).select(F.when(n < 50_000, "long").otherwise("short").alias("k"), first.alias("t"), "id")
+    cut = series.sliced(rows, ["k"], ["t", "id"], target)
+    sizes = {r[0]: r["count"] for r in cut.rows.filter("k = 'long'").groupBy(series.SLICE).count().collect()}
+    assert cut.long is (True) and len(sizes) >= 25 and max(sizes.values()) <= 2 * target and sum(sizes.values()) == 50_000
+    out = series.running_id(rows, ["k"], ["t", "id"], 0, "r", target)
+    want = F.row_number().over(Window.partitionBy("k").orderBy("t", "id"))
+    assert out.withColumn("want", want).filter("r <> want").count() == 0
+
+
+def test_deltas_beyond_32_bits(spark):
+    df = spark.createDataFrame([("A", 1, 0), ("A", 2, 10**14)], "s string, d int, v long")
+    assert [r["order_qty"] for r in series.signed_delta(df, ["s"], ["d"], "v").orderBy("d").collect()] == [0, 10**12]
+
+
+def test_totals_of_equal_rows_do_not_meet_in_a_window(spark):
+    rows = spark.range(5000).select(F.lit("hot").alias("k"), F.lit(1).alias("v"))
+    out = series.group_totals(rows, ["k"], {"n": F.count(F.lit(1))}, 100)
+    assert out.groupBy("n").count().collect() == [(5000, 5000)]
+    assert "Window" not in out.filter("k = 'hot'").groupBy("n").count()._jdf.queryExecution().executedPlan().toString().split("Union")[0]
+
+
 def test_signed_delta_of_the_fixture(spark):
     rows = [("AAPL", f"2024-01-0{i + 1}", 1_000_000 + i * 100_000) for i in range(5)]
     df = spark.createDataFrame(rows, "symbol string, date string, volume long")
@@ -187,15 +217,6 @@ def step_by_step(durations):
     return masked, status
 
 
-def test_steps_agree_with_a_run():
-    rng = np.random.default_rng(7)
-    for _ in range(300):
-        durations = np.where(rng.random(40) < rng.random(), rng.integers(0, 15, 40), 0)
-        cuts, ends = outages.countdown_steps(durations, 20)
-        for start in range(21):
-            assert ends[np.searchsorted(cuts, start)] == outages.run_countdown(durations, start)[2]
-
-
 @pytest.mark.parametrize("rows", [15, 200, 10_000])
 def test_outages_of_long_stations(skewed, rows):
     out = outages.mask_outages(skewed, "k", ["t"], "d", ["v"], rows_per_slice=rows)
@@ -207,3 +228,21 @@ def test_outages_of_long_stations(skewed, rows):
         masked, status = step_by_step([r["d"] or 0 for r in found])
         want.update({r["seq"]: (0.0 if m else r["v"], s) for r, m, s in zip(found, masked, status)})
     assert {r["seq"]: (r["v"], r["status"]) for r in out.collect()} == want
+
+
+def test_outages_that_follow_on_one_another(spark):
+    """A trigger on every third row: chains of outages as long as the station, and one that hides all others."""
+    rng = np.random.default_rng(11)
+    rows = [("dense", i, 1 + i % 4 if i % 3 == 0 else None) for i in range(900)] + [("hidden", i, 5000 if i == 3 else 2) for i in range(300)]
+    rows += [(None, i, int(rng.integers(1, 6)) if rng.random() < 0.5 else 0) for i in range(400)]
+    df = spark.createDataFrame([(*r, 1.5) for r in rows], "station string, frame int, d int, voltage double")
+    want = {}
+    for name in ("dense", "hidden", None):
+        mine = [r for r in rows if r[0] == name]
+        masked, status = step_by_step([r[2] or 0 for r in mine])
+        want.update({r[:2]: (0.0 if m else 1.5, s) for r, m, s in zip(mine, masked, status)})
+    for size in (50, 10_000):
+        out = outages.mask_outages(df, "station", ["frame"], "d", ["voltage"], rows_per_slice=size)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+        assert {(r["station"], r["frame"]): (r["voltage"], r["status"]) for r in out.collect()} == want

@@ -1,11 +1,15 @@
 """Streams on small files, run to their end."""
 
+import time
+
 from pyspark.sql import functions as F
 
+from tickloom.operators.outages import mask_outages
 from tickloom.plans.view import view
 from tickloom.session import list_dir, scratch_path
 from tickloom.sources import replay
 from tickloom.streaming import live
+from tickloom.streaming.outages import mask_outages_stream, open_outages, outage_sink
 
 
 def source(spark, rows=300, files=6):
@@ -157,3 +161,55 @@ def test_frames_play_in_order(spark):
     stream = replay.file_replay_source(spark, target, spark.read.parquet(target).schema)
     finish(live.micro_batch(stream, lambda b, i: seen.append(sorted(r["id"] for r in b.collect())), scratch_path(spark, "p"), None))
     assert seen == [list(range(a, min(a + 30, 100))) for a in (0, 30, 60, 90)]
+
+
+def outage_batches(spark, batches=5):
+    """Rows of four stations in several batches, as a stream of one file each; 'quiet' is heard of in the first batch only."""
+    path = scratch_path(spark, "outages")
+    for b in range(batches):
+        rows = [(s, b * 40 + i, (7 if (b * 40 + i) % 11 == 0 else 90 if s == "c" and b == 0 and i == 5 else None), 1.0) for s in "abc" for i in range(40)]
+        rows += [("quiet", 39, 200, 1.0)] if b == 0 else []
+        spark.createDataFrame(rows, "station string, frame int, d int, v double").coalesce(1).write.mode("append").parquet(path)
+    schema = "station string, frame int, d int, v double"
+    return spark.read.schema(schema).parquet(path), spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_outage_streams_equal_the_batch_form(spark):
+    rows, stream = outage_batches(spark)
+    want = mask_outages(rows, "station", ["frame"], "d", ["v"])
+    path, state = scratch_path(spark, "masked"), scratch_path(spark, "open")
+    sink = outage_sink(path, state, "station", ["frame"], "d", ["v"], idle_batches=2, rows_per_slice=15)
+    kept = []
+
+    def deliver(batch, batch_id):
+        for _ in range(2 if batch_id == 1 else 1):  # a repeated batch replaces itself
+            sink(batch, batch_id)
+        kept.append({r["station"]: r["left"] for r in open_outages(spark, state).collect()})
+
+    finish(live.micro_batch(stream, deliver, scratch_path(spark, "p"), None))
+    got = spark.read.parquet(path + "/batch_id=*").select(want.columns)
+    assert len(kept) == 5 and got.exceptAll(want).count() == 0 and got.count() == rows.count()
+    assert kept[0]["quiet"] == 200 and "quiet" in kept[1] and "quiet" not in kept[2], "an idle station is forgotten"
+    assert all(left > 0 for k in kept for left in k.values())
+
+    masked = mask_outages_stream(stream, "station", ["frame"], "d", ["v"])
+    out = scratch_path(spark, "stateful")
+    finish(live.micro_batch(masked, live.parquet_sink(out), scratch_path(spark, "p"), None))
+    got = spark.read.schema(masked.schema).parquet(out + "/batch_id=*").select(want.columns)
+    assert got.exceptAll(want).count() == 0 and got.count() == rows.count()
+
+
+def test_idle_countdowns_expire(spark):
+    """With a short time to live an outage is forgotten between two runs; with a long one it goes on."""
+    schema = "station string, frame int, d int, v double"
+    for idle, want in (("1s", [1.0] * 3), ("1d", [0.0] * 3)):
+        path, out, progress = scratch_path(spark, "src"), scratch_path(spark, "out"), scratch_path(spark, "p")
+        spark.createDataFrame([("s", 0, 50, 1.0)], schema).write.parquet(path)
+        stream = spark.readStream.schema(schema).parquet(path)
+        masked = mask_outages_stream(stream, "station", ["frame"], "d", ["v"], idle=idle)
+        finish(live.micro_batch(masked, live.parquet_sink(out), progress, None))
+        time.sleep(2)
+        spark.createDataFrame([("s", i, None, 1.0) for i in (1, 2, 3)], schema).write.mode("append").parquet(path)
+        finish(live.micro_batch(masked, live.parquet_sink(out), progress, None))
+        rows = spark.read.schema(masked.schema).parquet(out + "/batch_id=*").orderBy("frame").collect()
+        assert [r["v"] for r in rows[1:]] == want

@@ -1,101 +1,28 @@
 """Outage masking: a countdown per station that starts at a trigger and blanks the rows after it.
 
-The countdown makes a row depend on all rows before it, which no window frame expresses, so the
-sequential part runs in Python over Arrow batches, looking at triggers only. A station with very many
-rows is cut into slices (see ``series``). For each slice a first pass finds the countdown it ends with
-for every countdown it may start with, a few numbers; chaining those gives every slice its start, and
-the slices are then masked side by side.
+A trigger inside an outage counts for nothing, so whether one counts depends on all before it. That is settled among
+the triggers alone, in column functions: with rows numbered along each station, a trigger at row r of duration d frees row
+r + d + 1. One that no earlier trigger of its station reaches counts for certain. From there each trigger points to
+the first one at or after the row it frees, and those on the way from a certain one count; pointers are doubled, so the
+rounds grow with the logarithm of the longest chain of outages that follow on one another.
+
+Rows stay in the JVM: they are numbered, and take the newest trigger that counts, in windows over slices of a station (see
+``series``), so a station may hold any part of the table. Every round is written to the shared folder, and one
+row per round comes to the driver.
 """
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator, Sequence
-from decimal import Decimal
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tickloom.operators.series import ROWS_PER_SLICE, SLICE, renamed_keys, same_keys, sliced
+from tickloom.operators.series import ROWS_PER_SLICE, SLICE, Sliced, latest_value, numbered_rows, sliced
+from tickloom.operators.tables import small_side
+from tickloom.session import durable
 
-# What runs in Python workers travels with the job, so executors need no copy of this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-
-def run_countdown(durations: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """(masked, fault, countdown left) for rows in order; a duration above 0 is a trigger.
-
-    The trigger row is a fault but keeps its values, the ``duration`` rows after it are masked, and the
-    last of those is no longer a fault. Triggers inside an outage count for nothing.
-    """
-    n = len(durations)
-    masked = np.zeros(n, dtype=bool)
-    fault = np.zeros(n, dtype=bool)
-    masked[:start] = True
-    fault[: max(0, start - 1)] = True
-    free, left = start, max(0, start - n)
-    for at in np.flatnonzero(durations > 0):
-        if at < free:
-            continue
-        length = int(durations[at])
-        masked[at + 1 : at + 1 + length] = True
-        fault[at : at + length] = True
-        free = at + 1 + length
-        left = max(0, free - n)
-    return masked, fault, left
-
-
-def countdown_steps(durations: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
-    """The countdown after these rows as a step function of the one before them.
-
-    (cuts, ends): a countdown c that runs out within the rows, c <= ``longest``, leads to the end at the
-    first cut that is not below c. One step per trigger among the first ``longest`` rows.
-    """
-    n = len(durations)
-    at = np.flatnonzero(durations > 0)
-    ends = np.zeros(len(at) + 1, dtype=np.int64)
-    for j in range(len(at) - 1, -1, -1):
-        free = at[j] + 1 + int(durations[at[j]])
-        ends[j] = free - n if free >= n else ends[np.searchsorted(at, free)]
-    steps = int(np.searchsorted(at, longest))
-    return at[:steps], ends[: steps + 1]
-
-
-def durations_of(trigger: pd.Series) -> np.ndarray:
-    return trigger.fillna(0).to_numpy(dtype=np.int64)
-
-
-def blank_rows(frame: pd.DataFrame, masked: np.ndarray, fault: np.ndarray, readings: Sequence[str], status: str) -> pd.DataFrame:
-    frame = frame.copy()
-    for name in readings:
-        frame[name] = np.where(masked, 0, frame[name].to_numpy())
-    frame[status] = np.where(fault, "fault", "normal")
-    return frame
-
-
-def _changes(batch: pa.RecordBatch, keys: Sequence[str]) -> np.ndarray:
-    """True on every row whose keys differ from the row before, and on the first."""
-    changed = np.ones(batch.num_rows, dtype=bool)
-    if batch.num_rows > 1:
-        changed[1:] = False
-    for key in keys:
-        values = batch.column(key)
-        here, before = values[1:], values[:-1]
-        differs = pc.fill_null(pc.not_equal(here, before), False)
-        one_null = pc.xor(pc.is_null(here), pc.is_null(before))
-        changed[1:] |= pc.or_(differs, one_null).to_numpy(zero_copy_only=False)
-    return changed
-
-
-def _zeroed(column: pa.Array, masked: pa.Array) -> pa.Array:
-    zero = pa.scalar(Decimal(0), column.type) if pa.types.is_decimal(column.type) else pa.scalar(0).cast(column.type)
-    return pc.if_else(masked, zero, column)
+AT, FREE, STATION = "__at", "__free", "__station"
 
 
 def mask_outages(
@@ -106,72 +33,85 @@ def mask_outages(
     readings: Sequence[str],
     status: str = "status",
     rows_per_slice: int = ROWS_PER_SLICE,
+    start: DataFrame | None = None,
 ) -> DataFrame:
     """Blank the readings of each station during outages and add a fault/normal status.
 
-    ``trigger`` holds the duration of an outage in rows on the row that starts it, else null or 0.
-    ``order`` is unique per station.
+    ``trigger`` holds the duration of an outage in rows on the row that starts it, else null or 0. The
+    trigger row is a fault but keeps its values, the rows after it are masked, and the last of those is no longer a
+    fault. ``order`` is unique per station. ``start`` (station, left) tells how many rows of an earlier outage are left.
     """
-    keys = [station]
-    cut = sliced(df, keys, order[0], rows_per_slice)
-    longest = int(df.agg(F.max(trigger).alias("m")).first()["m"] or 0)
-    starts = _slice_starts(cut, station, order, trigger, longest)
-    side = renamed_keys(starts, keys, "__carry").withColumnRenamed(SLICE, "__carry_slice")
-    match = same_keys(cut, side, keys, "__carry") & (cut[SLICE] == side["__carry_slice"]) & cut["__is_long"]
-    started = cut.join(F.broadcast(side), match, "left").select(
-        *df.columns, SLICE, F.coalesce("__start", F.lit(0).cast("bigint")).alias("__start")
-    )
-    in_order = started.repartition(station, SLICE).sortWithinPartitions(station, SLICE, *order)
-    columns = [*df.columns, status]
-    schema = T.StructType([*df.schema.fields, T.StructField(status, T.StringType())])
-
-    def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, left = None, 0
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            edges = [*np.flatnonzero(_changes(batch, [station, SLICE])), batch.num_rows]
-            durations = pc.fill_null(batch.column(trigger), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            first = batch.column("__start").to_numpy(zero_copy_only=False)
-            here = (batch.column(station)[0].as_py(), batch.column(SLICE)[0].as_py())
-            masked = np.zeros(batch.num_rows, dtype=bool)
-            fault = np.zeros(batch.num_rows, dtype=bool)
-            for i, (a, b) in enumerate(zip(edges, edges[1:])):
-                start = left if i == 0 and here == last else int(first[a])
-                masked[a:b], fault[a:b], left = run_countdown(durations[a:b], start)
-            last = (batch.column(station)[-1].as_py(), batch.column(SLICE)[-1].as_py())
-            blank = pa.array(masked)
-            kept = [_zeroed(batch.column(c), blank) if c in readings else batch.column(c) for c in columns[:-1]]
-            words = pa.array(np.where(fault, "fault", "normal"), type=pa.string())
-            yield pa.RecordBatch.from_arrays([*kept, words], names=columns)
-
-    return in_order.mapInArrow(mask, schema)
-
-
-def _slice_starts(cut: DataFrame, station: str, order: Sequence[str], trigger: str, longest: int) -> DataFrame:
-    """The countdown each slice of a long station starts with; no outage is longer than ``longest``."""
-    key_type = cut.schema[station]
-    pieces = cut.filter("__is_long").select(*dict.fromkeys([station, SLICE, *order, trigger]))
-    tables = T.StructType([
-        key_type, T.StructField(SLICE, T.LongType()), T.StructField("__rows", T.LongType()),
-        T.StructField("__cuts", T.ArrayType(T.LongType())), T.StructField("__ends", T.ArrayType(T.LongType())),
-    ])
-
-    def table(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        durations = durations_of(frame.sort_values(list(order))[trigger])
-        cuts, ends = countdown_steps(durations, longest)
-        return pd.DataFrame({
-            station: [key[0]], SLICE: [key[1]], "__rows": [len(durations)], "__cuts": [cuts], "__ends": [ends],
-        })
-
-    def chain(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(SLICE)
-        left, starts = 0, []
-        for rows, cuts, ends in zip(frame["__rows"], frame["__cuts"], frame["__ends"]):
-            starts.append(left)
-            left = left - rows if left >= rows else int(ends[np.searchsorted(cuts, left)])
-        return pd.DataFrame({station: [key[0]] * len(frame), SLICE: frame[SLICE].to_numpy(), "__start": starts})
-
-    summary = pieces.groupBy(station, SLICE).applyInPandas(table, tables)
-    starts = T.StructType([key_type, T.StructField(SLICE, T.LongType()), T.StructField("__start", T.LongType())])
-    return summary.groupBy(station).applyInPandas(chain, starts)
+    rows = outage_rows(df, station, order, trigger, rows_per_slice, start)
+    _, fault = in_outage()
+    return rows.select(*masked_columns(df, readings), F.when(fault, "fault").otherwise("normal").alias(status))
+
+
+def masked_columns(df: DataFrame, readings: Sequence[str]) -> list[Column]:
+    """The columns of ``df``, with the readings blanked in an outage."""
+    masked, _ = in_outage()
+    zeroed = {c: F.when(masked, F.lit(0).cast(df.schema[c].dataType)).otherwise(F.col(c)).alias(c) for c in readings}
+    return [zeroed.get(c, F.col(c)) for c in df.columns]
+
+
+def in_outage() -> tuple[Column, Column]:
+    """(masked, fault) of a row of ``outage_rows``."""
+    at, begun, free = F.col(AT), F.col("__outage")[AT], F.col("__outage")[FREE]
+    return F.coalesce((at > begun) & (at < free), F.lit(False)), F.coalesce((at >= begun) & (at < free - 1), F.lit(False))
+
+
+def outage_rows(
+    df: DataFrame, station: str, order: Sequence[str], trigger: str, rows_per_slice: int = ROWS_PER_SLICE, start: DataFrame | None = None
+) -> DataFrame:
+    """``df`` with ``__at``, the row's number in its station from 1, and ``__outage``, (row, free row) of the newest trigger that counts."""
+    cut = sliced(df, [station], order, rows_per_slice)
+    numbered = numbered_rows(cut, order, 0, AT)
+    duration = F.col(trigger).cast("bigint")
+    triggers = numbered.filter(duration > 0).select(F.col(station).alias(STATION), AT, (F.col(AT) + 1 + duration).alias(FREE))
+    if start is not None:
+        left = start.filter("left > 0").select(F.col(station).alias(STATION), F.lit(0).cast("bigint").alias(AT), (F.col("left") + 1).alias(FREE))
+        triggers = triggers.unionByName(left)
+    side = accepted_triggers(triggers, rows_per_slice).withColumnsRenamed({AT: "__begun"})
+    side = small_side(side)
+    match = numbered[station].eqNullSafe(side[STATION]) & (numbered[AT] == side["__begun"])
+    begun = F.when(F.col("__begun").isNotNull(), F.struct(F.col("__begun").alias(AT), F.col(FREE).alias(FREE)))
+    flagged = numbered.join(side, match, "left").select(*numbered.columns, begun.alias("__begins"))
+    found = latest_value(Sliced(flagged, cut.keys, cut.long), order, F.col("__begins"), "__outage")
+    if start is not None:
+        first = small_side(left.withColumnsRenamed({STATION: "__first", FREE: "__first_free"}).drop(AT))
+        found = found.join(first, found[station].eqNullSafe(first["__first"]), "left")
+        earlier = F.when(F.col("__first_free").isNotNull(), F.struct(F.lit(0).cast("bigint").alias(AT), F.col("__first_free").alias(FREE)))
+        found = found.withColumn("__outage", F.coalesce("__outage", earlier))
+    return found.select(*df.columns, AT, "__outage")
+
+
+def accepted_triggers(triggers: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+    """Those of the triggers (station, row, free row) that do not lie in the outage of another that counts."""
+    nodes = durable(triggers)
+    cut = sliced(nodes, [STATION], [AT], rows_per_slice)
+    earlier = Window.partitionBy(*cut.pieces).orderBy(AT).rowsBetween(Window.unboundedPreceding, -1)
+    reach = cut.summary(F.max(FREE).alias("__reach"))
+    before = Window.partitionBy(STATION).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    reach = reach.select(STATION, SLICE, F.max("__reach").over(before).alias("__reach"))
+    reached = F.greatest(F.max(FREE).over(earlier), F.col("__reach"), F.lit(0).cast("bigint"))
+    nodes = durable(cut.carried(reach, ["__reach"]).select(STATION, AT, FREE, (reached <= F.col(AT)).alias("__sure")))
+    marked = nodes.filter("__sure").select(STATION, AT)
+    jumps = durable(_next_triggers(nodes, rows_per_slice))
+    while jumps.head(1):
+        there = jumps.withColumnsRenamed({STATION: "__s", AT: "__a"})
+        match = [F.col(STATION).eqNullSafe(F.col("__s")), F.col(AT) == F.col("__a")]
+        marked = durable(marked.unionByName(marked.join(there, match).select(STATION, F.col("__to").alias(AT))))
+        further = there.withColumnRenamed("__to", "__beyond")
+        match = [F.col(STATION).eqNullSafe(F.col("__s")), F.col("__to") == F.col("__a")]
+        jumps = durable(jumps.join(further, match).select(STATION, AT, F.col("__beyond").alias("__to")))
+    side = marked.withColumnsRenamed({STATION: "__s", AT: "__a"})
+    return nodes.join(side, [nodes[STATION].eqNullSafe(side["__s"]), nodes[AT] == side["__a"]], "left_semi").select(STATION, AT, FREE)
+
+
+def _next_triggers(nodes: DataFrame, rows_per_slice: int) -> DataFrame:
+    """(station, row, to): the first trigger at or after the row that a trigger frees, unless that one counts for certain."""
+    points = nodes.select(STATION, (-F.col(AT)).alias("__x"), F.lit(0).alias("__kind"), AT, "__sure")
+    asking = nodes.select(STATION, (-F.col(FREE)).alias("__x"), F.lit(1).alias("__kind"), AT, "__sure")
+    order = ["__x", "__kind", AT]  # backwards, a trigger before those that ask for its row
+    cut = sliced(points.unionByName(asking), [STATION], order, rows_per_slice)
+    found = latest_value(cut, order, F.when(F.col("__kind") == 0, F.struct(AT, "__sure")), "__next")
+    return found.filter((F.col("__kind") == 1) & ~F.col("__next")["__sure"]).select(STATION, AT, F.col("__next")[AT].alias("__to"))

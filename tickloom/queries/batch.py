@@ -178,7 +178,7 @@ def member_rows(spark, folder):
 
 
 @query("""
-    SELECT o_custkey, o_orderkey, CAST(round_even(coalesce(v - lag(v) OVER w, 0) * CAST(0.01 AS DOUBLE), 0) AS INTEGER) AS order_qty
+    SELECT o_custkey, o_orderkey, CAST(round_even(coalesce(v - lag(v) OVER w, 0) * CAST(0.01 AS DOUBLE), 0) AS BIGINT) AS order_qty
     FROM (SELECT *, CAST(floor(o_totalprice) AS BIGINT) AS v FROM orders)
     WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""")
 def signed_delta(spark, folder):

@@ -11,7 +11,8 @@ from tickloom.queries.views import as_doubles
 from tickloom.session import scratch_path
 from tickloom.sources import replay
 from tickloom.streaming import live
-from tickloom.streaming.outages import mask_outages_stream
+from tickloom.streaming.maintained import maintained_view
+from tickloom.streaming.outages import mask_outages_stream, outage_sink
 
 
 def event_stream(spark, folder):
@@ -189,8 +190,8 @@ def file_replay_source(spark, folder):
 
 @query(OUTAGES_SQL)
 def mask_outages_stream_batches(spark, folder):
-    """The masking of ``mask_outages`` over a stream in three batches."""
-    stream = played_events(spark, folder, with_trigger, frames=3)
+    """The masking of ``mask_outages`` over a stream in four batches."""
+    stream = played_events(spark, folder, with_trigger, frames=4)
     masked = mask_outages_stream(stream, "user_id", ["ts"], "trigger", ["value"])
     return collected(masked).select("event_id", "value", "status")
 
@@ -221,3 +222,25 @@ def incremental_append(spark, folder):
     first = orders.filter("o_orderpriority < '3'")
     live.incremental_append(first, path, "o_orderpriority", ["o_orderdate", "o_orderkey"])
     return live.incremental_append(orders, path, "o_orderpriority", ["o_orderdate", "o_orderkey"])
+
+
+@query(view_sql(
+    """SELECT event_type, value::DECIMAL(18,2) AS price, ts, event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 5000""", ["event_type"],
+    {"value": mean_sql("price"), "ts": "max(ts) {f}", "event_id": "max(event_id) {f}"},
+))
+def live_view_kept(spark, folder):
+    """The same view, kept from stored parts over five batches: rows that drop out are taken back."""
+    stream = batches(spark, event_files(spark, folder, 5), table(spark, folder, "events").schema, 1).withColumn("value", money("value"))
+    config = {"group_by": ["event_type"], "columns": ["value", "ts", "event_id"], "aggregates": {"value": "mean", "ts": "last", "event_id": "max"}}
+    paths = scratch_path(spark, "kept"), scratch_path(spark, "view")
+    run(stream, maintained_view(*paths, config, [("ts", "desc"), ("event_id", "desc")], 5000, ["ts"]))
+    return live.read_snapshot(spark, paths[1])
+
+
+@query(OUTAGES_SQL)
+def mask_outages_sink(spark, folder):
+    """The masking of ``mask_outages`` over a stream in five batches, whose rows stay in the JVM."""
+    stream = played_events(spark, folder, with_trigger, frames=5)
+    path = scratch_path(spark, "masked")
+    run(stream, outage_sink(path, scratch_path(spark, "open"), "user_id", ["ts"], "trigger", ["value"]))
+    return spark.read.parquet(path + "/batch_id=*").select("event_id", "value", "status")

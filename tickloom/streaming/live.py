@@ -89,7 +89,7 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/version={versions[-1]}")
 
 
-def _write_version(rows: DataFrame, path: str, version: int, keep: int = 3) -> None:
+def write_version(rows: DataFrame, path: str, version: int, keep: int = 3) -> None:
     """Write a version, replacing one of the same number, and delete all but the last ``keep``."""
     spark = rows.sparkSession
     rows.write.mode("overwrite").parquet(f"{path}/version={version}")
@@ -111,7 +111,7 @@ def update_snapshot(
     rows = batch
     if versions:
         rows = spark.read.schema(batch.schema).parquet(f"{path}/version={versions[-1]}").unionByName(batch)
-    _write_version(sort_multi(rows, order).limit(limit), path, batch_id, keep)
+    write_version(sort_multi(rows, order).limit(limit), path, batch_id, keep)
 
 
 def bounded_table(path: str, order: Sequence[Order], limit: int) -> Sink:
@@ -128,7 +128,7 @@ def live_view(
     def refresh(batch: DataFrame, batch_id: int) -> None:
         update_snapshot(batch, batch_id, table_path, order, limit)
         rows = batch.sparkSession.read.schema(batch.schema).parquet(f"{table_path}/version={batch_id}")
-        _write_version(view(rows, config, order_by, **options), view_path, batch_id)
+        write_version(view(rows, config, order_by, **options), view_path, batch_id)
 
     return refresh
 
