@@ -1,6 +1,6 @@
 """Streams on small files, run to their end."""
 
-import time
+import datetime
 
 from pyspark.sql import functions as F
 
@@ -200,16 +200,17 @@ def test_outage_streams_equal_the_batch_form(spark):
 
 
 def test_idle_countdowns_expire(spark):
-    """With a short time to live an outage is forgotten between two runs; with a long one it goes on."""
-    schema = "station string, frame int, d int, v double"
-    for idle, want in (("1s", [1.0] * 3), ("1d", [0.0] * 3)):
+    """A station that is silent for longer than ``idle``, by the time of the others, has no open outage any more."""
+    schema = "station string, ts timestamp, d int, v double"
+    for idle, want in (("1h", [1.0] * 3), ("5d", [0.0] * 3)):
         path, out, progress = scratch_path(spark, "src"), scratch_path(spark, "out"), scratch_path(spark, "p")
-        spark.createDataFrame([("s", 0, 50, 1.0)], schema).write.parquet(path)
-        stream = spark.readStream.schema(schema).parquet(path)
-        masked = mask_outages_stream(stream, "station", ["frame"], "d", ["v"], idle=idle)
-        finish(live.micro_batch(masked, live.parquet_sink(out), progress, None))
-        time.sleep(2)
-        spark.createDataFrame([("s", i, None, 1.0) for i in (1, 2, 3)], schema).write.mode("append").parquet(path)
+        at = lambda h, m: datetime.datetime(2024, 1, 1, h, m, tzinfo=datetime.timezone.utc)
+        rounds = [[("s", at(0, 0), 50, 1.0), ("t", at(0, 0), None, 1.0)], [("t", at(9, 0), None, 1.0)],
+                  [("t", at(10, 0), None, 1.0)], [("s", at(10, m), None, 1.0) for m in (1, 2, 3)]]
+        for rows in rounds:
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+        masked = mask_outages_stream(stream, "station", ["ts"], "d", ["v"], ts="ts", idle=idle)
         finish(live.micro_batch(masked, live.parquet_sink(out), progress, None))
-        rows = spark.read.schema(masked.schema).parquet(out + "/batch_id=*").orderBy("frame").collect()
-        assert [r["v"] for r in rows[1:]] == want
+        rows = spark.read.schema(masked.schema).parquet(out + "/batch_id=*").filter("station = 's'").orderBy("ts").collect()
+        assert [r["v"] for r in rows] == [1.0, *want]

@@ -1,7 +1,7 @@
 """Outage masking on a stream, in two forms.
 
 ``mask_outages_stream`` is a stateful streaming operator: the countdown of a station is a value state that exists only
-while an outage is open and goes by itself when the station has been silent for ``idle``. All rows of a station in a
+while an outage is open, and a timer takes it away when the station has been silent for ``idle``. All rows of a station in a
 micro-batch meet in one task, in pandas.
 
 ``outage_sink`` is for stations of any size: a micro-batch is masked by the batch operator, in column functions and over slices
@@ -57,49 +57,61 @@ def run_countdown(durations: np.ndarray, start: int) -> tuple[np.ndarray, np.nda
 
 
 class Countdown(StatefulProcessor):
-    """The open outage of each station: how many rows it still masks."""
+    """The open outage of each station: how many rows it still masks, and when the station was last heard of."""
 
-    def __init__(self, order: Sequence[str], trigger: str, readings: Sequence[str], status: str, idle: str):
+    def __init__(self, order: Sequence[str], trigger: str, readings: Sequence[str], status: str, ts: str | None, idle_ms: int):
         self.order, self.trigger, self.readings, self.status = list(order), trigger, list(readings), status
-        self.idle = fixed_micros(idle) // 1000
+        self.ts, self.idle_ms = ts, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.left = handle.getValueState("left", "rows BIGINT", self.idle)
+        self.handle = handle
+        self.open = handle.getValueState("open", "rows BIGINT, seen BIGINT")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
         # Joining frames warns about all-null columns.
         warnings.simplefilter("ignore", FutureWarning)
         frame = pd.concat(list(rows)).sort_values(self.order)
-        start = self.left.get()[0] if self.left.exists() else 0
+        start, seen = self.open.get() if self.open.exists() else (0, 0)
         durations = frame[self.trigger].fillna(0).to_numpy(dtype=np.int64)
         masked, fault, left = run_countdown(durations, start)
         if left:
-            self.left.update((left,))
+            if self.ts is not None:
+                seen = max(seen, int(frame[self.ts].max().timestamp() * 1000))
+                self.handle.registerTimer(seen + self.idle_ms)
+            self.open.update((left, seen))
         elif start:
-            self.left.clear()
+            self.open.clear()
         for name in self.readings:
             frame[name] = np.where(masked, 0, frame[name].to_numpy())
         frame[self.status] = np.where(fault, "fault", "normal")
         yield frame
 
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        # Timers of earlier batches go off too; only that of the last row heard of counts.
+        if self.open.exists() and self.open.get()[1] + self.idle_ms <= expiredTimerInfo.getExpiryTimeInMs():
+            self.open.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
 
 def mask_outages_stream(
     stream: DataFrame, station: str, order: Sequence[str], trigger: str, readings: Sequence[str], status: str = "status",
-    idle: str = "365d",
+    ts: str | None = None, idle: str = "1d", delay: str = "10 seconds",
 ) -> DataFrame:
     """Like ``mask_outages`` with the countdown of each station kept as state between micro-batches.
 
     Rows are ordered within a micro-batch; batches count in the order they arrive. One batch's rows of a
-    station meet in one task, so the size of a batch (``maxFilesPerTrigger``) bounds that task. The outage of a station
-    that sends nothing for ``idle`` is forgotten. Needs the RocksDB state store, which is set for the session.
+    station meet in one task, so the size of a batch (``maxFilesPerTrigger``) bounds that task. With an event time ``ts`` a
+    timer ends the outage of a station that sends nothing for ``idle``, and rows more than ``delay`` behind the newest of
+    all are dropped, as timers need a watermark. Needs the RocksDB state store, which is set for the session.
     """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     schema = T.StructType([*stream.schema.fields, T.StructField(status, T.StringType())])
-    processor = Countdown(order, trigger, readings, status, idle)
-    return stream.groupBy(station).transformWithStateInPandas(processor, schema, "append", "ProcessingTime")
+    processor = Countdown(order, trigger, readings, status, ts, fixed_micros(idle) // 1000)
+    timed = stream if ts is None else stream.withWatermark(ts, delay)
+    return timed.groupBy(station).transformWithStateInPandas(processor, schema, "append", "None" if ts is None else "EventTime")
 
 
 def outage_sink(
