@@ -63,6 +63,62 @@ def test_damaged_archives_are_salvaged(packed):
     assert [g[:3] for g in warc.salvage(io.BytesIO(b"nothing here"))] == [("gap", 0, 12)]
 
 
+def ids_of(data):
+    return {int(f[4]["record_id"].split(":")[-1]) for f in warc.salvage(io.BytesIO(data)) if f[0] == "record"}
+
+
+def hurt_block(record):
+    bad = bytearray(record)
+    bad[record.index(b"\r\n\r\n", record.index(b"\r\n\r\n") + 4) + 10] ^= 0x55
+    return bytes(bad)
+
+
+def test_damage_in_a_member_of_many_records_costs_one():
+    parts = records(20)
+    for k in (1, 7, 19):
+        found = list(warc.salvage(io.BytesIO(warc.member(b"".join([*parts[:k], hurt_block(parts[k]), *parts[k + 1:]])))))
+        assert {int(f[4]["record_id"].split(":")[-1]) for f in found if f[0] == "record"} == set(range(20)) - {k}
+        gap = [f for f in found if f[0] == "gap"]
+        assert len(gap) == 1 and gap[0][3] == "block digest"
+        assert gap[0][4] == {"member": 0, "content_first": len(b"".join(parts[:k])), "content_end": len(b"".join(parts[:k + 1]))}
+    three = [warc.member(b"".join(p)) for p in (parts[:7], [*parts[7:9], hurt_block(parts[9]), *parts[10:14]], parts[14:])]
+    assert ids_of(b"".join(three)) == set(range(20)) - {9}
+    long = bytearray(b"".join(parts))
+    at = long.index(b"Content-Length: ", len(b"".join(parts[:5])))
+    long[at + 16:at + 17] = b"99999999"
+    assert set(range(20)) - {5} <= ids_of(warc.member(bytes(long)))
+
+
+@pytest.mark.parametrize("share", [0.05, 0.3, 0.6, 0.95])
+def test_records_before_the_end_of_a_broken_member_are_kept(share):
+    """All records that are complete before the cut, or before a byte that cannot be inflated, and all of the next member."""
+    parts = [warc.record_bytes(f"urn:x-page:{k}", "http://h", np.random.default_rng(k).integers(32, 127, 3000, dtype=np.uint8).tobytes()) for k in range(20)]
+    data = warc.member(b"".join(parts[:15]))
+    cut = data[:int(len(data) * share)]
+    whole = zlib.decompressobj(31).decompress(cut)
+    complete = sum(len(b"".join(parts[:k + 1])) <= len(whole) for k in range(15))
+    assert ids_of(cut) == set(range(complete))
+    rest = warc.member(b"".join(parts[15:]))
+    found = list(warc.salvage(io.BytesIO(cut + rest)))
+    have = {int(f[4]["record_id"].split(":")[-1]) for f in found if f[0] == "record"}
+    assert have >= {*range(max(0, complete - 1)), *range(15, 20)} and have <= {*range(complete + 1), *range(15, 20)}
+    assert [f[1] for f in found] == [0, *[f[2] for f in found[:-1]]] and found[-1][2] == len(cut + rest)
+    assert any(f[0] == "gap" and f[3] for f in found)
+
+
+def test_a_stated_length_beyond_the_file_is_not_read():
+    class Counted(io.BytesIO):
+        most = 0
+
+        def read(self, size=-1):
+            Counted.most = max(Counted.most, size)
+            return super().read(size)
+
+    parts = records(3)
+    data = parts[1].replace(b"Content-Length: ", b"Content-Length: 9999999999", 1) + parts[2]
+    assert [f[0] for f in warc.salvage(Counted(data), len(data))] == ["gap", "record"] and Counted.most <= warc.READ_BYTES
+
+
 def test_gaps_are_logged_by_the_spark_reader(spark, tmp_path):
     parts = [warc.member(r) for r in records(30)]
     parts[10] = b"\x00" * 300_000 + parts[10][:50]
@@ -131,7 +187,6 @@ def definition():
 
 def test_token_file_query(spark):
     coder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    coder.encode_special_tokens = True
     found = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in entry.queries()["op9_token_files"](spark, FOLDER).collect()}
     start, want = 0, {}
     for doc_id, text in duckdb.sql(f"SELECT doc_id, text FROM '{FOLDER}/documents.parquet' ORDER BY doc_id").fetchall():
@@ -142,12 +197,19 @@ def test_token_file_query(spark):
 
 
 def test_token_files_of_odd_rows(spark, definition):
-    rows = [(3, None, 1), (1, "", 2), (None, "no id", 3), (2, "two <|endoftext|>", 4), (2, "two <|endoftext|>", 4), (2, "another", 5), (9, "word " * 50_000, 6)]
+    rows = [(3, None, 1), (1, "", 2), (None, "no id", 3), (2, "two <|endoftext|>", 4), (2, "two <|endoftext|>", 4), (2, "another", 5), (9, "word " * 50_000, 6),
+            (-(1 << 63), "a <|endoftext|> b", 7)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, start int")
     found = sorted(token_files.round_trip(docs, definition).collect(), key=lambda r: r["start"])
-    assert [r["doc_id"] for r in found] == [None, 1, 2, 2, 2, 3, 9]
+    assert [r["doc_id"] for r in found] == [None, -(1 << 63), 1, 2, 2, 2, 3, 9]
+    coder = Tokenizer.from_str(definition)
+    texts = {r[0]: r[1] or "" for r in rows if r[0] != 2}
+    for r in found:  # the stated call, in which the string of a special token is that token
+        if r["doc_id"] != 2:
+            assert r["ids"] == [*coder.encode(texts[r["doc_id"]], add_special_tokens=False).ids, 0]
+    assert found[1]["ids"] == [64, 220, 50256, 275, 0]
     assert [r["start"] for r in found] == [0, *np.cumsum([len(r["ids"]) for r in found]).tolist()[:-1]]
-    assert all(r["ids"][-1] == 0 for r in found) and found[1]["ids"] == [0] == found[5]["ids"]
+    assert all(r["ids"][-1] == 0 for r in found) and found[2]["ids"] == [0] == found[6]["ids"]
     assert token_files.round_trip(docs.limit(0), definition).count() == 0
 
 

@@ -3,7 +3,6 @@
 import decimal
 
 import pandas as pd
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,6 +65,16 @@ def test_error_messages_are_rejected(spark):
     assert good.count() == 2 and {r["reason"] for r in bad.collect()} == {"error"}
 
 
+def test_only_files_with_breaks_in_cells_are_read_in_one_piece(spark, tmp_path):
+    schema = "id int, t string"
+    for name, text, whole in (("plain", 'id,t\n1,"a ""b"" c"\n2,\n', False), ("broken", 'id,t\n1,"a\nb"\n2,x\n', True), ("stray", 'id,t\n1,5" pipe\n2,x\n', True)):
+        path = str(tmp_path / f"{name}.csv")
+        (tmp_path / f"{name}.csv").write_text(text)
+        assert files.quoted_breaks(spark, path) is whole
+        assert sorted(r["id"] for r in files.read_csv_typed(spark, path, T.StructType.fromDDL(schema)).collect()) == [1, 2]
+    assert files.quoted_breaks(spark, str(tmp_path / "plain.csv"), "UTF-16")
+
+
 def test_view_names_stay_apart(spark):
     rows = spark.createDataFrame([("x", "null", 1, 1), ("x", None, 2, 1), ("y", "b", 3, 1)], "ticker string, side string, v int, ticker_count int")
     split = view(rows, {"group_by": ["ticker"], "split_by": ["side"], "columns": ["v"], "aggregates": {"v": "sum"}})
@@ -74,9 +83,12 @@ def test_view_names_stay_apart(spark):
     assert len(set(both.columns)) == len(both.columns) and both.count() == 3
 
 
-def test_decimal_readings_are_blanked():
-    column = pa.array([decimal.Decimal("1.50"), decimal.Decimal("2.50")], pa.decimal128(18, 2))
-    assert outages._zeroed(column, pa.array([True, False])).to_pylist() == [decimal.Decimal("0.00"), decimal.Decimal("2.50")]
+def test_decimal_readings_are_blanked(spark):
+    rows = [("s", i, 1 if i == 0 else None, decimal.Decimal("1.50")) for i in range(3)]
+    df = spark.createDataFrame(rows, "station string, t int, d int, v decimal(18,2)")
+    out = outages.mask_outages(df, "station", ["t"], "d", ["v"])
+    assert out.schema["v"] == df.schema["v"]
+    assert [r["v"] for r in out.orderBy("t").collect()] == [decimal.Decimal(x) for x in ("1.50", "0.00", "1.50")]
 
 
 def test_points_come_back_as_they_were(spark):

@@ -2,12 +2,13 @@
 
 import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from tickloom.operators.outages import mask_outages
 from tickloom.plans.view import view
 from tickloom.session import list_dir, scratch_path
-from tickloom.sources import replay
+from tickloom.sources import recent, replay
 from tickloom.streaming import live
 from tickloom.streaming.outages import mask_outages_stream, open_outages, outage_sink
 
@@ -214,3 +215,70 @@ def test_idle_countdowns_expire(spark):
         finish(live.micro_batch(masked, live.parquet_sink(out), progress, None))
         rows = spark.read.schema(masked.schema).parquet(out + "/batch_id=*").filter("station = 's'").orderBy("ts").collect()
         assert [r["v"] for r in rows] == [1.0, *want]
+
+
+def test_a_broken_load_is_never_seen(spark, monkeypatch):
+    path = scratch_path(spark, "store")
+    df = spark.createDataFrame([(k, d, k * 10 + d) for k in (1, 2, 3) for d in range(5)], "k int, d int, v int")
+    live.incremental_append(df.filter("k = 1"), path, "k", ["d"])
+
+    def broken(*_):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(live, "put_line", broken)
+    for _ in range(2):
+        with pytest.raises(RuntimeError):  # all files are there, the list is not
+            live.incremental_append(df.filter("k < 3"), path, "k", ["d"])
+    assert live.read_loads(spark, path, df.schema).count() == 5
+    monkeypatch.undo()
+    # A load that broke off between two files left one of its keys' folders.
+    half = list_dir(spark, f"{path}/load=1")
+    assert "k=2" in half
+    df.filter("k = 3 AND d < 2").drop("k").write.mode("overwrite").parquet(f"{path}/load=1/k=3")
+    assert live.read_loads(spark, path, df.schema).count() == 5
+    store = live.incremental_append(df, path, "k", ["d"])
+    assert sorted(map(tuple, store.collect())) == sorted(map(tuple, df.collect()))
+    assert live.incremental_append(df, path, "k", ["d"]).count() == 15
+    live.merge_loads(spark, path, df.schema, "k", ["d"])
+    assert live.listed_loads(spark, path)[1] == [live.listed_loads(spark, path)[0]]
+    merged = live.read_loads(spark, path, df.schema)
+    assert sorted(map(tuple, merged.select(df.columns).collect())) == sorted(map(tuple, df.collect()))
+    for k in (1, 2, 3):
+        rows = spark.read.schema("d int, v int").parquet(f"{path}/load={live.listed_loads(spark, path)[0]}/k={k}").collect()
+        assert [r["d"] for r in rows] == list(range(5)), "rows of a key are in order"
+
+
+def test_late_rows_go_to_a_table_of_their_own(spark):
+    paths = scratch_path(spark, "windows"), scratch_path(spark, "late")
+    sink = live.windows_and_late_rows(*paths, "ts", "10 minutes", ["k"], {"n": ("count", "id"), "top": ("max", "id")}, "10 seconds")
+    at = lambda m, s=0: datetime.datetime(2024, 1, 1, 0, m, s, tzinfo=datetime.timezone.utc)
+    rounds = [[(1, at(1), "a"), (2, at(12), "a"), (9, None, "a")], [(3, at(5), "a"), (4, at(15), "b")], [(5, at(21), "a")], [(6, at(9, 59), "b"), (7, at(22), "a")]]
+    for i, rows in enumerate(rounds):
+        batch = spark.createDataFrame(rows, "id int, ts timestamp, k string")
+        for _ in range(2 if i == 1 else 1):  # a repeated batch replaces itself
+            sink(batch, i)
+    closed = spark.read.parquet(paths[0] + "/batch_id=*").orderBy("window_start", "k").collect()
+    assert [(r["k"], r["n"], r["top"]) for r in closed] == [("a", 1, 1), ("a", 1, 2), ("b", 1, 4)]
+    late = {r["id"]: r["lateness"] for r in spark.read.parquet(paths[1] + "/batch_id=*").collect()}
+    assert set(late) == {9, 3, 6} and late[9] is None and late[3] == datetime.timedelta(minutes=6, seconds=50)
+    assert [(r["k"], r["n"]) for r in live.open_windows(spark, paths[0]).collect()] == [("a", 2)]
+
+
+def test_polls_read_on_from_the_mark(spark):
+    path, marks = scratch_path(spark, "table"), scratch_path(spark, "marks")
+    n = F.col("id")
+    rows = spark.range(1000).select("id", F.timestamp_seconds(F.floor(n / 7) * 60).alias("ts"), F.when(n % 2 == 0, n).alias("k"))
+    rows.repartitionByRange(8, "id").sortWithinPartitions("id").write.parquet(path)
+    stored, seen = spark.read.parquet(path), []
+    for most in (300, 300, None, None):
+        polled = recent.poll_new(stored, "ts", ["k", "id"], marks, most)
+        for _ in range(2):  # a poll that breaks off is repeated
+            ids = [r["id"] for r in recent.poll_new(stored, "ts", ["k", "id"], marks, most).collect()]
+        recent.keep_mark(polled.persist(), "ts", ["k", "id"], marks)
+        seen.append(ids)
+    assert [len(s) for s in seen] == [300, 300, 400, 0] and sorted(sum(seen, [])) == list(range(1000))
+    assert recent.keep_mark(stored.limit(0), "ts", ["k", "id"], marks) is False
+    spark.range(1000, 1010).select("id", F.timestamp_seconds(F.floor(n / 7) * 60).alias("ts"), F.lit(None).cast("long").alias("k")).write.mode("append").parquet(path)
+    later = recent.poll_new(spark.read.parquet(path), "ts", ["k", "id"], marks)
+    assert "GreaterThanOrEqual(ts" in later._jdf.queryExecution().executedPlan().toString()
+    assert {r["id"] for r in later.collect()} >= set(range(1001, 1010))

@@ -2,8 +2,11 @@
 
 The reader checks every record (member checksum, version line, header lines, length, block and payload digests). After a
 failed check it looks for the next place where a gzip member or a version line starts that passes all checks, goes on
-from there, and reports the bytes in between as a quarantined gap. Archives are read as streams; one record at a time is
-in memory.
+from there, and reports the bytes in between as a quarantined gap. A member is inflated as a stream and its records come out
+as they are complete: a damaged one among several costs itself only (the next version line is looked for in the member's
+content), and of a member that breaks off or cannot be inflated any further the records before that are kept. A member of
+one record has to pass its checksum; of several, that have been handed out by then, each has passed its own digests. One
+record at a time is in memory.
 """
 
 from __future__ import annotations
@@ -14,7 +17,8 @@ import io
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Generator, Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -30,12 +34,13 @@ ship(__name__)
 LEAST_SHARED = 1000  # bytes; smaller payloads are never written as revisits
 ARCHIVE_BYTES = 64 << 20
 READ_BYTES = 1 << 16
+MEMBER_BYTES = 1 << 13  # a member is inflated in small steps, so that little is consumed beyond a record
 LEVEL = 1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 SCHEMA = (
     "archive string, kind string, first long, end long, reason string, record_type string, record_id string, uri string, "
-    "refers_to string, payload_digest string, payload_bytes long, payload binary"
+    "refers_to string, payload_digest string, payload_bytes long, payload binary, member long, content_first long, content_end long"
 )
 
 
@@ -137,12 +142,12 @@ def write_archives(pages: DataFrame, folder: str, compressed: bool = True, archi
 class Window:
     """A byte stream with a little of its past: ``at(offset, n)`` for offsets from the last ``forget`` on."""
 
-    def __init__(self, stream: io.RawIOBase) -> None:
-        self.stream, self.start, self.data, self.ended = stream, 0, bytearray(), False
+    def __init__(self, stream: io.RawIOBase, step: int = READ_BYTES, size: int | None = None) -> None:
+        self.stream, self.step, self.size, self.start, self.data, self.ended = stream, step, size, 0, bytearray(), False
 
     def at(self, offset: int, size: int) -> bytes:
         while not self.ended and self.start + len(self.data) < offset + size:
-            more = self.stream.read(max(READ_BYTES, offset + size - self.start - len(self.data)))
+            more = self.stream.read(max(self.step, offset + size - self.start - len(self.data)))
             self.data += more
             self.ended = not more
         return bytes(self.data[offset - self.start:offset - self.start + size])
@@ -152,6 +157,59 @@ class Window:
         self.start = max(self.start, offset)
 
 
+class Inflated:
+    """The content of the member at ``place`` of a window, as a stream that ends where it cannot go on.
+
+    ``place`` moves behind what has been consumed; ``fault`` tells why a member did not come to its proper end.
+    ``surely`` tells up to where the bytes belong to the member, if its content is known to be right up to an offset: a member
+    that breaks off may be inflated on into the next one.
+    """
+
+    def __init__(self, window: Window, place: int) -> None:
+        self.window, self.place, self.fault, self.done = window, place, None, False
+        self.unpack, self.made, self.steps = zlib.decompressobj(31), 0, deque()
+
+    def surely(self, offset: int) -> int:
+        while len(self.steps) > 1 and self.steps[1][0] < offset:
+            self.steps.popleft()
+        return self.steps[0][1]
+
+    def read(self, size: int) -> bytes:
+        out = self._step(size)
+        self.made += len(out)
+        return out
+
+    def _step(self, size: int) -> bytes:
+        while not self.done:
+            self.steps.append((self.made, self.place))
+            data = self.window.at(self.place, MEMBER_BYTES)
+            if not data:
+                self.fault, self.done = "truncated member", True
+                break
+            before = self.unpack.copy()
+            try:
+                out = self.unpack.decompress(data, size)
+            except zlib.error as error:
+                self.fault, self.done = "member checksum" if "incorrect" in str(error) else "member", True
+                return self._until_error(before, data)
+            self.place += len(data) - len(self.unpack.unconsumed_tail) - len(self.unpack.unused_data)
+            self.done = self.unpack.eof
+            if out:
+                return out
+        return b""
+
+    def _until_error(self, unpack: object, data: bytes) -> bytes:
+        """What the bytes before the faulty one still give."""
+        out = bytearray()
+        for k in range(len(data)):
+            try:
+                out += unpack.decompress(data[k:k + 1])
+            except zlib.error:
+                break
+            self.place += 1
+        return bytes(out)
+
+
 def _headers(data: bytes) -> dict[str, str]:
     lines = data.decode("utf-8", "replace").split("\r\n")
     found = {}
@@ -180,6 +238,8 @@ def _plain(window: Window, offset: int) -> tuple[int, dict[str, str], bytes]:
         raise Damaged("content length")
     length = int(headers["content-length"])
     first = offset + stop + 4
+    if window.size is not None and first + length + 4 > window.size:
+        raise Damaged("truncated record")  # found without reading what there is
     block = window.at(first, length + 4)
     if len(block) < length + 4:
         raise Damaged("truncated record")
@@ -227,79 +287,130 @@ def _checked(headers: dict[str, str], block: bytes) -> dict[str, object]:
     }
 
 
-def _at(window: Window, offset: int) -> tuple[int, list[dict[str, object]]]:
-    """The records that start at ``offset`` (a member may hold several) and where they end."""
-    if window.at(offset, 3) != b"\x1f\x8b\x08":
-        end, headers, block = _plain(window, offset)
-        return end, [_checked(headers, block)]
-    unpack, out, place = zlib.decompressobj(31), [], offset
-    try:
-        while not unpack.eof:
-            data = window.at(place, READ_BYTES)
-            if not data:
-                raise Damaged("truncated member")
-            out.append(unpack.decompress(data))
-            # Not a record at all: no need to unpack what may be a chance match of three bytes.
-            if len(out) == 1 and out[0] and not b"WARC/".startswith(out[0][:5]):
-                raise Damaged("version line")
-            place += len(data)
-    except zlib.error as error:
-        raise Damaged("member") from error
-    content = b"".join(out)
-    inner, found, at = Window(io.BytesIO(content)), [], 0
-    while at < len(content):
-        at, headers, block = _plain(inner, at)
-        found.append(_checked(headers, block))
-    if not found:
-        raise Damaged("empty member")
-    return place - len(unpack.unused_data), found
-
-
+Row = tuple[str, int, int, "str | None", dict[str, object]]
 START = re.compile(rb"\x1f\x8b\x08|WARC/")
 
 
-def salvage(stream: io.RawIOBase) -> Iterator[tuple[str, int, int, str | None, dict[str, object]]]:
+def _unit(window: Window, at: int, synced: bool) -> Generator[Row, None, tuple[int, str | None]]:
+    """The rows of what starts at ``at``, then (end, None), or how far they go and the check that failed there.
+
+    Without a record there are no rows. Rows follow on one another without space between; those of one member share out its
+    bytes, each up to where they were needed to complete it. Unless ``synced``, three bytes may only look like a member, and its
+    content has to begin with a version line.
+    """
+    if window.at(at, 3) != b"\x1f\x8b\x08":
+        try:
+            end, headers, block = _plain(window, at)
+            fields = _checked(headers, block)
+        except Damaged as error:
+            return at, str(error)
+        yield "record", at, end, None, fields
+        return end, None
+
+    inflated = Inflated(window, at)
+    content = Window(inflated, MEMBER_BYTES)
+    if not synced and content.at(0, 5) != b"WARC/":
+        return at, "version line"
+    past, place, held, count, reason = at, 0, None, 0, "empty member"
+    while content.at(place, 1):
+        try:
+            stop, headers, block = _plain(content, place)
+            fields = _checked(headers, block)
+        except Damaged as error:
+            reason = held[1] if held else str(error)
+            held = held or (place, reason)
+            place = _next_version(content, place + 1)
+            continue
+        last = not content.at(stop, 1)
+        here = inflated.place if last and inflated.fault is None else inflated.surely(stop)
+        if last and inflated.fault == "member checksum" and count == 0:
+            return at, inflated.fault
+        if held:
+            yield "gap", past, past, held[1], {"member": at, "content_first": held[0], "content_end": place}
+            held = None
+        yield "record", past, here, None, {**fields, "member": at, "content_first": place, "content_end": stop}
+        past, place, count = here, stop, count + 1
+        content.forget(place)
+        window.forget(past)
+    if count == 0 or inflated.fault:
+        return past, inflated.fault or reason
+    if held:
+        yield "gap", past, inflated.place, held[1], {"member": at, "content_first": held[0], "content_end": place}
+    return inflated.place, None
+
+
+def _next_version(content: Window, look: int) -> int:
+    """Where the next version line may start, or the end."""
+    while True:
+        content.forget(look)
+        data = content.at(look, MEMBER_BYTES)
+        hit = data.find(b"WARC/")
+        if hit >= 0:
+            return look + hit
+        if len(data) < MEMBER_BYTES:
+            return look + len(data)
+        look += len(data) - 4  # a start may lie across the border
+
+
+def salvage(stream: io.RawIOBase, size: int | None = None) -> Iterator[Row]:
     """("record", first, end, None, fields) and ("gap", first, end, reason, {}) that cover the stream in order.
 
-    Records of one member share its place. An empty stream gives nothing.
+    ``size`` is the length of the stream, if it is known. Rows from a member also say where they lie in its content. An empty
+    stream gives nothing.
     """
-    window, at = Window(stream), 0
+    window, at = Window(stream, size=size), 0
     while window.at(at, 1):
         window.forget(at)
-        try:
-            end, found = _at(window, at)
-        except Damaged as error:
-            first, reason, found, look = at, str(error), None, at + 1
+        end, reason = yield from _unit(window, at, True)
+        while reason is not None:
+            # Search from behind what has been recovered for a start that gives a record.
+            past, look = end, max(at + 1, end)
+            found = None
             while found is None:
+                window.forget(look)
                 data = window.at(look, READ_BYTES)
                 hit = START.search(data)
                 if hit is None:
+                    look += len(data) if len(data) < READ_BYTES else len(data) - 4
                     if len(data) < READ_BYTES:
-                        look, end, found = look + len(data), look + len(data), []
-                    else:
-                        look += len(data) - 4  # a start may lie across the border
-                    # What has been searched in vain need not be held.
-                    window.forget(look)
+                        break
                     continue
                 look += hit.start()
-                try:
-                    end, found = _at(window, look)
-                except Damaged:
+                found = _peeked(_unit(window, look, False))
+                if found is None:
                     look += 1
-            yield "gap", first, look, reason, {}
-            at = look
-        for fields in found:
-            yield "record", at, end, None, fields
+            yield "gap", past, look, reason, {}
+            if found is None:
+                end, reason = look, None
+            else:
+                at = look
+                end, reason = yield from found
         at = end
 
 
+def _peeked(rows: Generator[Row, None, tuple[int, str | None]]) -> Generator[Row, None, tuple[int, str | None]] | None:
+    """The same rows if there are any."""
+    try:
+        first = next(rows)
+    except StopIteration:
+        return None
+
+    def again() -> Generator[Row, None, tuple[int, str | None]]:
+        yield first
+        return (yield from rows)
+
+    return again()
+
+
 def read_archives(archives: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     """Records and quarantined gaps (``kind``) of the archives named in column ``archive``, one task per few archives.
 
-    ``payload`` is null unless ``payloads``. Gaps have their byte range and the check that failed at its start.
+    ``payload`` is null unless ``payloads``. Gaps have their byte range and the check that failed at its start; ``member``,
+    ``content_first`` and ``content_end`` place what comes from a member in its content.
     """
-    names = ["archive", "kind", "first", "end", "reason", "record_type", "record_id", "uri", "refers_to", "payload_digest", "payload_bytes", "payload"]
-    types = [pa.string(), pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 6, pa.int64(), pa.binary()]
+    names = ["archive", "kind", "first", "end", "reason", "record_type", "record_id", "uri", "refers_to", "payload_digest", "payload_bytes", "payload", "member",
+             "content_first", "content_end"]
+    types = [pa.string(), pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 6, pa.int64(), pa.binary(), *[pa.int64()] * 3]
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
@@ -309,12 +420,13 @@ def read_archives(archives: DataFrame, folder: str, payloads: bool = True) -> Da
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 rows, held = [], 0
+                length = files.get_file_info(f"{root}/{name}").size
                 with files.open_input_stream(f"{root}/{name}", compression=None) as stream:
-                    for kind, first, end, reason, fields in salvage(stream):
+                    for kind, first, end, reason, fields in salvage(stream, length):
                         if not payloads:
                             fields = {**fields, "payload": None}
                         rows.append((name, kind, first, end, reason, *[fields.get(n) for n in names[5:]]))
-                        held += len(rows[-1][-1] or b"") + 300
+                        held += len(rows[-1][-4] or b"") + 300
                         if held > 4 << 20:
                             yield batch_of(rows)
                             rows, held = [], 0

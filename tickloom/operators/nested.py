@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def explode_events(df: DataFrame, keys: Sequence[str], events: str) -> DataFrame:
-    """One row per element of an array of structs, with the struct's fields as columns."""
-    return df.select(*keys, F.inline(F.col(events)))
+def explode_events(df: DataFrame, keys: Sequence[str], events: str, order: Sequence[str] = ()) -> DataFrame:
+    """One row per element of an array of structs, with the struct's fields as columns; sorted if ``order`` names columns."""
+    rows = df.select(*keys, F.inline(F.col(events)))
+    return rows.orderBy(*order) if order else rows
 
 
 def explode_values(df: DataFrame, keys: Sequence[str], values: str, name: str, position: str | None = None) -> DataFrame:

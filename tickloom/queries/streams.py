@@ -9,7 +9,7 @@ from tickloom.queries.batch import OUTAGES_SQL, with_trigger
 from tickloom.queries.registry import mean_sql, money, query, table, view_sql
 from tickloom.queries.views import as_doubles
 from tickloom.session import scratch_path
-from tickloom.sources import replay
+from tickloom.sources import recent, replay
 from tickloom.streaming import live
 from tickloom.streaming.maintained import maintained_view
 from tickloom.streaming.outages import mask_outages_stream, outage_sink
@@ -244,3 +244,43 @@ def mask_outages_sink(spark, folder):
     path = scratch_path(spark, "masked")
     run(stream, outage_sink(path, scratch_path(spark, "open"), "user_id", ["ts"], "trigger", ["value"]))
     return spark.read.parquet(path + "/batch_id=*").select("event_id", "value", "status")
+
+
+@query("""
+    SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS arrived, sum(value::DECIMAL(18,2))::DOUBLE AS total
+    FROM events GROUP BY ALL""")
+def windows_and_late_rows(spark, folder):
+    """One event in forty comes two batches late: what windows and late rows hold together is the input."""
+    def shuffled(events):
+        kept = events.select("event_id", "ts", "event_type", money("value").alias("value"))
+        held = F.when(F.xxhash64("event_id") % 40 == 0, F.make_dt_interval(days=F.lit(12))).otherwise(F.make_dt_interval())
+        return kept.withColumn("turn", F.col("ts") + held)
+
+    stream = played_events(spark, folder, shuffled, order=["turn", "event_id"])
+    paths = scratch_path(spark, "windows"), scratch_path(spark, "late")
+    sums = {"n": ("count", "event_id"), "total": ("sum", "value")}
+    run(stream, live.windows_and_late_rows(*paths, "ts", "1 hour", ["event_type"], sums, "10 minutes"))
+    named = ["window_start", "event_type", "n", "total"]
+    late = spark.read.parquet(paths[1] + "/batch_id=*")
+    counted = late.groupBy(F.date_trunc("hour", "ts").cast("timestamp").alias("window_start"), "event_type").agg(
+        F.count("event_id").alias("n"), F.sum("value").alias("total"))
+    every = spark.read.parquet(paths[0] + "/batch_id=*").select(*named).unionByName(live.open_windows(spark, paths[0]).select(*named)).unionByName(counted)
+    result = every.groupBy("window_start", "event_type").agg(F.sum("n").alias("arrived"), F.sum("total").cast("double").alias("total"))
+    return result.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("""
+    WITH p AS (SELECT event_id, value, row_number() OVER (ORDER BY ts, event_id) - 1 AS p, count(*) OVER () AS n FROM events)
+    SELECT event_id, value, p // ((n + 3) // 4) AS poll FROM p""")
+def poll_new(spark, folder):
+    """Polls of a quarter of the table each, which read on from a stored mark until nothing is left."""
+    events = table(spark, folder, "events").select("event_id", "ts", "value")
+    most = -(-events.count() // 4)
+    path, marks = scratch_path(spark, "polled"), scratch_path(spark, "marks")
+    number, more = 0, True
+    while more:
+        recent.poll_new(events, "ts", ["event_id"], marks, most).write.parquet(f"{path}/poll={number}")
+        more = recent.keep_mark(spark.read.parquet(f"{path}/poll={number}"), "ts", ["event_id"], marks)
+        number += 1
+    rows = spark.read.option("basePath", path).schema(events.schema.add("poll", "bigint")).parquet(path + "/poll=*")
+    return rows.select("event_id", "value", "poll")

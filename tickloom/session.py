@@ -78,6 +78,26 @@ def list_dir(spark: SparkSession, path: str) -> list[str]:
     return sorted(status.getPath().getName() for status in fs.listStatus(target))
 
 
+def put_line(spark: SparkSession, path: str, line: str) -> None:
+    """A one-line file that is there as a whole or not at all, replacing one of that name: written beside it, then renamed."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    beside = jvm.org.apache.hadoop.fs.Path(target.getParent(), f"_{target.getName()}-{uuid.uuid4().hex}")
+    stream = fs.create(beside, True)
+    stream.write(bytearray(line.encode()))
+    stream.close()
+    if fs.exists(target):
+        fs.delete(target, False)
+    if not fs.rename(beside, target):
+        raise OSError(f"cannot rename to {path}")
+
+
+def get_line(spark: SparkSession, path: str) -> str:
+    """What :func:`put_line` wrote."""
+    return spark.read.text(path).first()[0]
+
+
 def delete_dir(spark: SparkSession, path: str) -> None:
     """Remove one folder this library wrote."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -35,6 +35,15 @@ def _typed(field: T.StructField, timestamp_format: str | None, date_format: str
     return F.trim(text).try_cast(kind)
 
 
+def quoted_breaks(spark: SparkSession, path: str, encoding: str = "UTF-8") -> bool:
+    """Whether a quoted cell may hold a line break: then some line has an odd number of quotes, as doubled ones come in pairs."""
+    if encoding.upper() not in ("UTF-8", "US-ASCII", "ISO-8859-1"):
+        return True  # lines cannot be told apart byte by byte
+    line = F.col("value")
+    quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+    return bool(spark.read.text(path).filter(quotes % 2 == 1).head(1))
+
+
 def read_csv_checked(
     spark: SparkSession,
     path: str,
@@ -44,15 +53,18 @@ def read_csv_checked(
     date_format: str | None = None,
     flag: str = "rejected",
     encoding: str = "UTF-8",
-    multi_line: bool = True,
+    multi_line: bool | None = None,
 ) -> DataFrame:
     """CSV with a header as declared types and a flag on rows with a value that does not fit, or too few or many cells.
 
     Quotes within a quoted cell are doubled, cells may hold line breaks, spaces count, and a quoted empty cell is an
     empty text where a bare one is null. The file is read as text and converted here: Spark's own check looks only at
     the columns a query uses, so whether a row counts as bad would depend on the query. gzip is recognised by file name.
-    A file whose cells hold no line breaks can be split between tasks with ``multi_line=False``.
+    Large files are split between tasks unless a cell may hold a line break; a pass over the lines finds that out, which
+    stating ``multi_line`` saves.
     """
+    if multi_line is None:
+        multi_line = quoted_breaks(spark, path, encoding)
     text = T.StructType([*[T.StructField(f.name, T.StringType()) for f in schema.fields], T.StructField(CORRUPT, T.StringType())])
     # A bare empty cell is read as this null mark, which no text holds, so that it differs from a quoted one.
     settings = {**CSV_CELLS, "nullValue": "\0", "emptyValue": "", "sep": sep, "encoding": encoding, "multiLine": str(multi_line).lower(), "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,12 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tickloom.functions.spans import column_type, instant, latest, span_interval
+from tickloom.functions.spans import column_type, fixed_micros, instant, latest, span_interval
 from tickloom.operators.filters import Moment, range_filter
 from tickloom.operators.ordering import Order, sort_multi
 from tickloom.operators.tables import anti_new_keys
 from tickloom.plans.view import view
-from tickloom.session import delete_dir, list_dir
+from tickloom.session import delete_dir, get_line, list_dir, put_line
 from tickloom.sources.files import write_by_key
 
 PERIOD = "250 milliseconds"
@@ -227,12 +228,105 @@ def drop_old_days(spark: SparkSession, path: str, first_day: str, day: str = "da
 def incremental_append(incoming: DataFrame, path: str, key: str, order: Sequence[str]) -> DataFrame:
     """Add the keys a store does not have yet and return the store.
 
-    The store has one folder per key: the known keys are the values of a folder column, for which no
-    stored row is decoded, and nothing stored is rewritten. A repeated load adds nothing.
+    A load writes its new keys into a folder of its own, one folder per key with rows in ``order``. Only then a list of
+    the loads that count is renamed into place, in one step. Readers follow the newest list (``read_loads``), so a load that
+    breaks off, even between two files, is never seen, and repeating it starts afresh. Known keys are values of a folder
+    column, for which no stored row is decoded, and nothing stored is rewritten. One load at a time.
     """
     spark = incoming.sparkSession
+    version, loads = listed_loads(spark, path)
     fresh = incoming
-    if any(n.startswith(f"{key}=") for n in list_dir(spark, path)):
-        fresh = anti_new_keys(incoming, spark.read.schema(incoming.schema).parquet(path), key)
-    write_by_key(fresh, path, key, order, mode="append")
-    return spark.read.schema(incoming.schema).parquet(path).select(incoming.columns)
+    if loads:
+        fresh = anti_new_keys(incoming, read_loads(spark, path, incoming.schema), key)
+    number = version + 1
+    # What a broken load of this number left is replaced.
+    write_by_key(fresh, f"{path}/load={number}", key, order)
+    put_line(spark, f"{path}/lists/{number:09d}.json", json.dumps([*loads, number]))
+    return read_loads(spark, path, incoming.schema).select(incoming.columns)
+
+
+def listed_loads(spark: SparkSession, path: str) -> tuple[int, list[int]]:
+    """The number of the newest list of a store, and the loads on it; -1 and none at the start."""
+    lists = [n for n in list_dir(spark, f"{path}/lists") if n.endswith(".json") and n[0].isdigit()]
+    if not lists:
+        return -1, []
+    return int(lists[-1].split(".")[0]), json.loads(get_line(spark, f"{path}/lists/{lists[-1]}"))
+
+
+def read_loads(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The rows of all loads that are on the newest list."""
+    _, loads = listed_loads(spark, path)
+    found = [spark.read.schema(schema).parquet(f"{path}/load={n}") for n in loads]
+    if not found:
+        return spark.createDataFrame([], schema)
+    result = found[0]
+    for more in found[1:]:
+        result = result.unionByName(more)
+    return result
+
+
+def merge_loads(spark: SparkSession, path: str, schema: T.StructType, key: str, order: Sequence[str]) -> None:
+    """Write all listed loads as one and list that alone, for a store of many small loads; older folders stay for their readers."""
+    version, loads = listed_loads(spark, path)
+    if len(loads) > 1:
+        write_by_key(read_loads(spark, path, schema), f"{path}/load={version + 1}", key, order)
+        put_line(spark, f"{path}/lists/{version + 1:09d}.json", json.dumps([version + 1]))
+
+
+# --- windows that show what came too late ------------------------------------------------------------
+
+MERGES = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
+
+
+def windows_and_late_rows(
+    path: str, late_path: str, ts: str, width: str, series: Sequence[str], aggregates: Mapping[str, tuple[str, str]],
+    delay: str = "10 seconds",
+) -> Sink:
+    """A sink of tumbling windows that loses no row without trace.
+
+    ``aggregates`` maps names to (count, sum, min or max; column). Closed windows go to ``path``, in a folder per batch, once
+    the newest time seen is ``delay`` past their end. A row whose window has been closed by an earlier batch goes to ``late_path``
+    instead, with its ``lateness``, the time by which it missed the closing, so rows in windows and late rows together are the input.
+    Rows without a time are late rows without a lateness. Open windows are stored as mergeable parts, by batch, and a batch that is
+    repeated starts from the version before it. Windows that are still open are read with ``open_windows``.
+    """
+    span = int(fixed_micros(width))
+    names = [*series, "window_start"]
+    state_path = f"{path}-open"
+
+    def deliver(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        versions = [v for v in snapshot_versions(spark, state_path) if v < batch_id]
+        closed = int(get_line(spark, f"{state_path}/closed-{versions[-1]}.txt")) if versions else -(1 << 62)
+        micros = F.unix_micros(F.col(ts).cast("timestamp"))
+        start = micros - F.pmod(micros, F.lit(span))
+        rows = batch.withColumns({"__end": start + span, "window_start": F.timestamp_micros(start)}).persist()
+        try:
+            missed = F.col("__end").isNull() | (F.col("__end") <= closed)
+            gap = F.make_dt_interval(secs=((F.lit(closed) - micros) / 1e6).cast("decimal(18,6)"))
+            late = rows.filter(missed).select(*batch.columns, gap.alias("lateness"))
+            late.write.mode("overwrite").parquet(f"{late_path}/batch_id={batch_id}")
+            kinds = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}
+            parts = rows.filter(~missed).groupBy(*names).agg(
+                F.max("__end").alias("__end"), *[kinds[how](c).alias(n) for n, (how, c) in aggregates.items()])
+            if versions:
+                parts = spark.read.schema(parts.schema).parquet(f"{state_path}/version={versions[-1]}").unionByName(parts)
+                parts = parts.groupBy(*names).agg(
+                    F.max("__end").alias("__end"), *[MERGES[how](n).alias(n) for n, (how, _) in aggregates.items()])
+            newest = rows.agg(F.max(micros).alias("m")).first()["m"]
+            bound = closed if newest is None else max(closed, newest - fixed_micros(delay))
+            parts = parts.persist()
+            done = parts.filter(F.col("__end") <= bound).withColumn("window_end", F.timestamp_micros("__end"))
+            done.select("window_start", "window_end", *series, *aggregates).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+            put_line(spark, f"{state_path}/closed-{batch_id}.txt", str(bound))
+            write_version(parts.filter(F.col("__end") > bound), state_path, batch_id)
+            parts.unpersist()
+        finally:
+            rows.unpersist()
+
+    return deliver
+
+
+def open_windows(spark: SparkSession, path: str) -> DataFrame:
+    """The windows of :func:`windows_and_late_rows` that are not closed yet."""
+    return read_snapshot(spark, f"{path}-open").drop("__end")
