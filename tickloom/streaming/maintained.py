@@ -74,12 +74,19 @@ class MaintainedView:
             return {"version": -1, "batches": {}, "parts": {}, "counts": {}}
         return json.loads(spark.read.text(f"{self.path}/state/version={versions[-1]}").first()[0])
 
-    def raw_rows(self, spark: SparkSession, schema: T.StructType, batches: Sequence[str], buckets: Sequence[int]) -> DataFrame:
-        """Stored rows of some batches and buckets; no other folder is read."""
+    def raw_rows(
+        self, spark: SparkSession, schema: T.StructType, batches: Sequence[str], buckets: Sequence[int] | None = None
+    ) -> DataFrame:
+        """Stored rows of some batches and buckets, or of all buckets; no other folder is read."""
         own = [(BUCKET, T.IntegerType()), (ID, T.LongType()), (BATCH, T.LongType()), ("bucket", T.IntegerType())]
-        stored = spark.read.schema(T.StructType([*schema.fields, *[T.StructField(*f) for f in own]])).option("basePath", f"{self.path}/rows")
-        rows = stored.parquet(*[f"{self.path}/rows/batch_id={b}" for b in batches])
-        return rows.filter(F.col("bucket").isin(list(buckets)))
+        schema = T.StructType([*schema.fields, *[T.StructField(*f) for f in own]])
+        folders = [f"{self.path}/rows/batch_id={b}" for b in batches]
+        if buckets is not None:
+            wanted = {f"bucket={b}" for b in buckets}
+            folders = [f"{folder}/{name}" for folder in folders for name in list_dir(spark, folder) if name in wanted]
+        if not folders:
+            return spark.createDataFrame([], schema)
+        return spark.read.schema(schema).option("basePath", f"{self.path}/rows").parquet(*folders)
 
     def _ledger(self, spark: SparkSession, state: dict, batches: Sequence[str]) -> DataFrame:
         """The live rows of some batches, narrow."""
@@ -106,7 +113,7 @@ class MaintainedView:
             return spark.createDataFrame([], schema)
         batches = list(state["batches"])
         live = self._ledger(spark, state, batches).select(BATCH, ID)
-        rows = self.raw_rows(spark, schema, batches, range(self.buckets))
+        rows = self.raw_rows(spark, schema, batches)
         return rows.join(live, [BATCH, ID], "left_semi").select(*schema.names)
 
     def view(self, spark: SparkSession, schema: T.StructType) -> DataFrame:
