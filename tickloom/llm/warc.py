@@ -192,8 +192,9 @@ class Inflated:
             except zlib.error as error:
                 self.fault, self.done = "member checksum" if "incorrect" in str(error) else "member", True
                 return self._until_error(before, data)
-            self.place += len(data) - len(self.unpack.unconsumed_tail) - len(self.unpack.unused_data)
             self.done = self.unpack.eof
+            # At the end the tail may repeat what is unused.
+            self.place += len(data) - len(self.unpack.unused_data if self.done else self.unpack.unconsumed_tail)
             if out:
                 return out
         return b""
