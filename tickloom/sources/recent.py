@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.operators.filters import Moment, range_filter
@@ -36,7 +36,7 @@ def recent_slice(
 def poll_new(df: DataFrame, ts: str, keys: Sequence[str], mark_path: str, most: int | None = None) -> DataFrame:
     """The rows that have come since the last poll: those after the stored mark in the order (ts, keys).
 
-    The mark is the greatest (ts, keys) handed out; the ``ts`` bound is a plain filter, so it reaches the scan, which skips
+    The mark is the greatest (ts, keys) handed out, null keys last; the ``ts`` bound is a plain filter, so it reaches the scan, which skips
     older files and row groups, and only rows at that very moment are compared by their keys. ``keys`` must be unique per moment.
     With ``most`` a poll takes the first so many rows after the mark. The mark moves with :func:`keep_mark`, after
     the rows have been dealt with, so a poll that breaks off is repeated. Rows that get an older time than
@@ -48,15 +48,21 @@ def poll_new(df: DataFrame, ts: str, keys: Sequence[str], mark_path: str, most:
     if marks:
         last = df.sparkSession.read.schema(df.select(*at).schema).parquet(f"{mark_path}/{marks[-1]}").first()
         bounds = [F.lit(v).cast(df.schema[c].dataType) for c, v in zip(at, last)]
-        after = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(at)]) > F.struct(*[b.alias(f"c{i}") for i, b in enumerate(bounds)])
+        after = _place([F.col(c) for c in at]) > _place(bounds)
         rows = rows.filter((F.col(ts) >= bounds[0]) & after)
     return rows if most is None else head(rows, most, at)
 
 
+def _place(values: Sequence[Column]) -> Column:
+    """A row's place in the order, in which nulls come last as in ``order_columns``."""
+    pairs = [part for v in values for part in (v.isNull(), v)]
+    return F.struct(*[part.alias(f"c{i}") for i, part in enumerate(pairs)])
+
+
 def keep_mark(polled: DataFrame, ts: str, keys: Sequence[str], mark_path: str) -> bool:
     """Move the mark behind the rows of a poll; False if there were none."""
     spark, at = polled.sparkSession, [ts, *keys]
-    last = polled.select(*at).orderBy(*[F.col(c).desc() for c in at]).limit(1)
+    last = polled.select(*at).orderBy(*[F.col(c).desc_nulls_first() for c in at]).limit(1)
     number = len([n for n in list_dir(spark, mark_path) if n.startswith("mark=")])
     if not last.head(1):
         return False
