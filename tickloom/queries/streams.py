@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickloom.operators.filters import filter_eq
 from tickloom.queries.batch import OUTAGES_SQL, with_trigger
@@ -282,5 +283,5 @@ def poll_new(spark, folder):
         recent.poll_new(events, "ts", ["event_id"], marks, most).write.parquet(f"{path}/poll={number}")
         more = recent.keep_mark(spark.read.parquet(f"{path}/poll={number}"), "ts", ["event_id"], marks)
         number += 1
-    rows = spark.read.option("basePath", path).schema(events.schema.add("poll", "bigint")).parquet(path + "/poll=*")
+    rows = spark.read.option("basePath", path).schema(T.StructType([*events.schema.fields, T.StructField("poll", T.LongType())])).parquet(path + "/poll=*")
     return rows.select("event_id", "value", "poll")

@@ -310,9 +310,11 @@ def windows_and_late_rows(
             parts = rows.filter(~missed).groupBy(*names).agg(
                 F.max("__end").alias("__end"), *[kinds[how](c).alias(n) for n, (how, c) in aggregates.items()])
             if versions:
-                parts = spark.read.schema(parts.schema).parquet(f"{state_path}/version={versions[-1]}").unionByName(parts)
-                parts = parts.groupBy(*names).agg(
-                    F.max("__end").alias("__end"), *[MERGES[how](n).alias(n) for n, (how, _) in aggregates.items()])
+                fresh = parts.schema
+                parts = spark.read.schema(fresh).parquet(f"{state_path}/version={versions[-1]}").unionByName(parts)
+                # A sum of decimal sums would be wider after every batch.
+                merged = [MERGES[how](n).cast(fresh[n].dataType).alias(n) for n, (how, _) in aggregates.items()]
+                parts = parts.groupBy(*names).agg(F.max("__end").alias("__end"), *merged)
             newest = rows.agg(F.max(micros).alias("m")).first()["m"]
             bound = closed if newest is None else max(closed, newest - fixed_micros(delay))
             parts = parts.persist()
