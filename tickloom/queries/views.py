@@ -39,13 +39,15 @@ def as_doubles(df):
     ])
 
 
+# The group, split, column and aggregate settings of the views below are those that have to give these results.
+
+
 @query(view_sql(
     TICKS_SQL, ["ticker"],
     {"client": "count(client) {f}", **PRICE_MEASURES, "timestamp": last_sql("ts", "ts")}, STATUSES, "client",
 ))
 def view_ticker_by_client(spark, folder):
     config = {
-        "version": "3.4.3", "plugin": "Datagrid", "settings": True, "theme": "Pro Dark", "title": None,
         "group_by": ["ticker"], "split_by": ["client"],
         "columns": ["client", "open", "high", "low", "close", "timestamp"], "filter": [], "sort": [], "expressions": {},
         "aggregates": {"high": "max", "timestamp": "last", "low": "min", "open": "mean", "ticker": "dominant", "close": "mean"},
