@@ -4,10 +4,15 @@ Inner products become distances by one more component, sqrt(M^2 - |x|^2) with M
 which are scaled to length M. Balanced halving of a sample gives the centroids, of which there is a bounded number. They
 are joined into a neighbour graph that each task holds in memory. Vectors go to the list of their nearest centroid, and
 boundary vectors also to others that are nearly as near, in different directions; a walk of the graph finds them. A query
-is compared with all centroids and searches every list whose centroid is within a ratio of the nearest one's distance,
-however many these are. Neighbouring lists form cells, of which there are at most CELLS, and a vector or query goes once to
-each cell it has lists in, with a bit per list. Cells are cut into blocks of bounded size, and so are the queries of a
-cell; each pair of blocks is one matrix product.
+walks the graph to its nearest centroid, then on from every centroid within a ratio of that one's distance, until none of
+these is left unvisited, and searches their lists, however many these are. Neighbouring lists form cells, of which there
+are at most CELLS, and a vector or query goes once to each cell it has lists in, with a bit per list. Cells are cut into
+blocks of bounded size, and so are the queries of a cell; a pair of blocks is searched list by list, or in one matrix
+product if that takes fewer products.
+
+Bounds: MAX_CENTROIDS and SAMPLE_PER_CENTROID of the index, DEGREE links and WIDTH held candidates of the graph, REPLICAS
+lists a vector, CELLS. None of them leaves out a vector or limits the lists that a query searches. RATIO is chosen by
+recall of the 20 nearest, which the README states.
 """
 
 from __future__ import annotations
@@ -30,12 +35,14 @@ LIST_ROWS = 128  # vectors per centroid, as long as there are fewer than MAX_CEN
 MAX_CENTROIDS = 8192
 SAMPLE_PER_CENTROID = 40
 DEGREE = 24
-WIDTH = 96  # candidates that the graph walk of a vector holds
+FAR = 8  # random links of each centroid, which join pieces of the graph that have no near links
+WIDTH = 96  # candidates that a walk of the graph holds
+PAIRS = 1 << 15  # distances, or steps of a walk, that are computed at a time
 CELLS = 64
 REPLICAS = 4
 NEARLY = 1.10  # a vector also joins centroids up to this ratio of its least distance
 APART = 0.1  # least gap to the centroids a vector has joined, as a share of its distance
-RATIO = 1.25  # a query searches lists up to this ratio of its least distance
+RATIO = 1.15  # a query searches lists up to this ratio of its least distance
 BLOCK_ROWS = 16_384
 QUERY_EVERY = 20
 
@@ -56,6 +63,12 @@ def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     return plain.filter(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False)))
 
 
+def of_one_length(rows: DataFrame) -> DataFrame:
+    """The rows whose vectors have the length that is met most often; one row comes to the driver."""
+    most = rows.groupBy(F.size("v").alias("size")).count().orderBy(F.col("count").desc(), F.col("size").desc()).first()
+    return rows.filter(F.size("v") == most["size"]) if most else rows
+
+
 def squared_length(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
 
@@ -101,8 +114,8 @@ def graph_of(centroids: np.ndarray, degree: int = DEGREE, seed: int = 4) -> tupl
         near.append(np.argpartition(d, max(k - 1, 0), axis=1)[:, :k] if k else np.empty((len(d), 0), np.int64))
     links = np.vstack(near)
     ring = np.stack([np.roll(np.arange(count), s) for s in (1, -1)], axis=1)
-    far = rng.integers(0, count, (count, 4))
-    entry = rng.choice(count, min(count, 32), replace=False)
+    far = rng.integers(0, count, (count, FAR))
+    entry = rng.choice(count, min(count, max(32, 4 * int(count ** 0.5))), replace=False)
     return np.hstack([links, ring, far]).astype(np.int64), np.sort(entry)
 
 
@@ -177,11 +190,33 @@ def _per_cell(lists: int) -> int:
     return -(-lists // CELLS)
 
 
-def searched_lists(index: Index, rows: np.ndarray) -> np.ndarray:
-    """Whether each query, as :func:`as_queries` makes them, searches each list."""
-    size, own = (index.centroids * index.centroids).sum(axis=1), (rows * rows).sum(axis=1, keepdims=True)
-    dist = np.sqrt(np.maximum(size - 2 * rows @ index.centroids.T + own, 0))
-    return dist <= RATIO * dist.min(axis=1, keepdims=True) + 1e-9
+def searched_lists(index: Index, rows: np.ndarray, ratio: float = RATIO) -> np.ndarray:
+    """Whether each query, as :func:`as_queries` makes them, searches each list.
+
+    A walk finds the nearest centroid; from there on every centroid within the ratio is visited and its neighbours are
+    measured, until all within the ratio have been visited. Centroids that no such path meets are never measured.
+    """
+    centroids, count = index.centroids, len(index.centroids)
+    size, own = (centroids * centroids).sum(axis=1), (rows * rows).sum(axis=1)
+    dist = np.full((len(rows), count), np.inf, np.float32)
+    found, away = walk(index, rows)
+    row, place = np.nonzero(np.isfinite(away))
+    dist[row, found[row, place]] = away[row, place]
+    visited = np.zeros(dist.shape, bool)
+    while True:
+        near = dist <= ratio * dist.min(axis=1, keepdims=True) + 1e-6
+        row, at = np.nonzero(near & ~visited)
+        if not len(row):
+            return near
+        visited[row, at] = True
+        met = np.zeros(dist.shape, bool)
+        for a in range(0, len(row), PAIRS):
+            met[row[a:a + PAIRS, None], index.links[at[a:a + PAIRS]]] = True
+        row, to = np.nonzero(met & np.isinf(dist))
+        for a in range(0, len(row), PAIRS):
+            r, c = row[a:a + PAIRS], to[a:a + PAIRS]
+            inner = np.einsum("pd,pd->p", centroids[c], rows[r])
+            dist[r, c] = np.sqrt(np.maximum(size[c] - 2 * inner + own[r], 0))
 
 
 def _packed(member: np.ndarray, per: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -250,12 +285,13 @@ def _blocks(rows: DataFrame, block: int) -> Column:
 
 
 def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of the ``k`` largest finite scores of each row, equal ones from the left."""
+    """Rows and columns of the ``k`` largest finite scores of each row, equal ones (but for rounding) from the left."""
     if scores.shape[1] <= k:
         return np.nonzero(np.isfinite(scores))
     least = np.partition(scores, -k, axis=1)[:, -k:].min(axis=1, keepdims=True)
-    row, place = np.nonzero((scores >= least) & np.isfinite(scores))
-    above = scores[row, place] > least[row, 0]
+    slack = np.where(np.isfinite(least), 1e-13 * np.abs(least), 0)
+    row, place = np.nonzero((scores >= least - slack) & np.isfinite(scores))
+    above = scores[row, place] > (least + slack)[row, 0]
     ties = np.cumsum(~above)
     first = np.searchsorted(row, np.arange(len(scores)))
     before = np.concatenate([[0], ties])[first]
@@ -264,6 +300,31 @@ def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return row[taken], place[taken]
 
 
+def _pairs(
+    names: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, wants: np.ndarray | None, has: np.ndarray | None, k: int
+) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query_id, vec_id, score) of the best of ``v``, which are in order of their ids, for every row of ``q``.
+
+    Products of equal vectors may differ in the last bit by their place in a matrix: what is chosen is computed once
+    more pair by pair, so that ties stay ties.
+    """
+    found = []
+    first = np.flatnonzero(np.diff(ids, prepend=ids[:1] - 1))
+    for a in range(0, len(q), 256):
+        scores = q[a:a + 256] @ v.T
+        scores[names[a:a + 256, None] == ids] = -np.inf
+        if wants is not None and not wants[a:a + 256].all():
+            scores[wants[a:a + 256] @ has.T == 0] = -np.inf
+        if len(first) < len(ids):  # one candidate per id
+            best = np.maximum.reduceat(scores, first, axis=1)
+            row, place = _best(best, k)
+            found.append((names[a + row], ids[first[place]], best[row, place]))
+        else:
+            row, place = _best(scores, k)
+            found.append((names[a + row], ids[place], np.einsum("pd,pd->p", q[a + row], v[place])))
+    return found
+
+
 def _searched(postings: DataFrame, queries: DataFrame, lists: int, k: int, block: int) -> DataFrame:
     """(query_id, vec_id, score): the best of every pair of a block of a cell and a block of its queries.
 
@@ -280,22 +341,22 @@ def _searched(postings: DataFrame, queries: DataFrame, lists: int, k: int, block
     right = dealt(queries, query_blocks, list_blocks, "query_id", ("turn", "block"))
 
     def best(vectors: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "vec_id": [], "score": []}
+        found = [(np.empty(0, "i8"), np.empty(0, "i8"), np.empty(0, "f8"))]
         if len(vectors) and len(asked):
             ids, names = vectors["vec_id"].to_numpy(), asked["query_id"].to_numpy()
             order = np.argsort(ids, kind="stable")
             ids, v, q = ids[order], np.stack(vectors["v"].to_numpy()).astype(float)[order], np.stack(asked["v"].to_numpy()).astype(float)
             has, wants = _unpacked(vectors["lists"], per)[order], _unpacked(asked["lists"], per)
-            for a in range(0, len(q), 256):
-                scores = q[a:a + 256] @ v.T
-                scores[names[a:a + 256, None] == ids] = -np.inf
-                if not wants[a:a + 256].all():
-                    scores[wants[a:a + 256] @ has.T == 0] = -np.inf
-                row, place = _best(scores, k)
-                out["query_id"].append(names[a + row])
-                out["vec_id"].append(ids[place])
-                out["score"].append(scores[row, place])
-        return pd.DataFrame({n: np.concatenate(c) if c else np.empty(0, "f8" if n == "score" else "i8") for n, c in out.items()})
+            if (has.sum(axis=0) * wants.sum(axis=0)).sum() < len(v) * len(q):
+                for one in np.flatnonzero(has.any(axis=0) & wants.any(axis=0)):
+                    mine, theirs = np.flatnonzero(has[:, one]), np.flatnonzero(wants[:, one])
+                    found += _pairs(names[theirs], q[theirs], ids[mine], v[mine], None, None, k)
+            else:
+                found += _pairs(names, q, ids, v, wants, has, k)
+        out = pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), (np.concatenate(c) for c in zip(*found)))))
+        # A vector may have been met in several lists.
+        out = out.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).drop_duplicates(["query_id", "vec_id"])
+        return out[out.groupby("query_id").cumcount() < k]
 
     keys = ["cell", "block", "turn"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, "query_id long, vec_id long, score double")
@@ -306,10 +367,10 @@ def nearest(vectors: DataFrame, k: int = NEIGHBOURS, every: int = QUERY_EVERY, c
     """(query_id, rank, vec_id, score) for queries with an id divisible by ``every``, nearest first, ties to smaller ids.
 
     Rows that share an id count as one candidate, with the best of their scores, and never as a neighbour of their own
-    id. Vectors need one common length, of those that take part. A query whose lists hold fewer than ``k`` others
-    searches all lists. No rows give no rows.
+    id. Vectors of another length than most rows have (of the greater one, if as many) have no product with those and
+    take no part. A query whose lists hold fewer than ``k`` others searches all lists. No rows give no rows.
     """
-    rows = stored(usable(vectors, column), "vectors")
+    rows = of_one_length(stored(usable(vectors, column), "vectors"))
     index, total = fit(rows, list_rows, max_centroids)
     schema = "query_id long, rank int, vec_id long, score double"
     if index is None:
