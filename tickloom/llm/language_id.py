@@ -53,6 +53,8 @@ def gram_counts(data: np.ndarray, starts: np.ndarray, buckets: int = BUCKETS) ->
     if len(low):
         kept = low != 32
         kept[1:] |= kept[:-1]
+        heads = starts[:-1][np.diff(starts) > 0]
+        kept[heads] = low[heads] != 32  # whatever letter the text before it ends with
         low = low[kept]
         before = np.concatenate([[0], np.cumsum(kept, dtype=np.int32)])
         starts = before[starts].astype(np.int64)
@@ -155,7 +157,8 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", prefix:
 
     A null text, an empty one or one without a letter gets ``und``, 0 and true; so does every text if the model has
     seen no language, but it is not rejected then. Equal cosines go to the centroid that comes first by language.
-    Repeated rows get equal results; other columns pass through.
+    Repeated rows get equal results; other columns pass through, and a new column whose name they have gets underscores
+    in front.
     """
     letters = fresh(docs, "__letters")
     marked = docs.withColumn(letters, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
@@ -180,9 +183,9 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", prefix:
     kept = [F.col(c) for c in docs.columns]
     return made.select(
         *kept,
-        F.when(known, F.get(names, F.col(place))).otherwise("und").alias(f"{prefix}lang_pred"),
-        F.when(known, F.col(near)).otherwise(F.lit(0.0)).alias(f"{prefix}score"),
-        (~F.col(letters) | F.coalesce(F.col(far), F.lit(False))).alias(f"{prefix}rejected"),
+        F.when(known, F.get(names, F.col(place))).otherwise("und").alias(fresh(docs, f"{prefix}lang_pred")),
+        F.when(known, F.col(near)).otherwise(F.lit(0.0)).alias(fresh(docs, f"{prefix}score")),
+        (~F.col(letters) | F.coalesce(F.col(far), F.lit(False))).alias(fresh(docs, f"{prefix}rejected")),
     )
 
 

@@ -116,7 +116,8 @@ def judge(docs: DataFrame, trusted: DataFrame, text: str = "text", threshold: fl
     """``docs`` with the counts, ``score``, ``base_failed`` and ``kept`` for every row, from its whole text.
 
     Null and empty texts have no words: counts 0, score 0, failed and not kept. Repeated rows are judged alike, ids do
-    not matter for the verdict, and other columns pass through. A score equal to the threshold is kept.
+    not matter for the verdict, and other columns pass through; a new column whose name they have gets underscores in
+    front. A score equal to the threshold is kept.
     """
     table = _table(log_ratios(docs.select("doc_id", F.col(text).alias("text")), trusted))
     # One row of BUCKETS numbers, read as a scalar; its size does not grow with the data.
@@ -140,10 +141,10 @@ def judge(docs: DataFrame, trusted: DataFrame, text: str = "text", threshold: fl
     counted = docs.withColumn(weights, table.scalar()).withColumn(held, counts)
     n_words, repeated = F.col(f"{held}.n_words"), F.col(f"{held}.n_repeat_words")
     failed = (n_words < MIN_WORDS) | (100 * repeated > MAX_REPEATED * n_words)
-    return counted.select(
-        *docs.columns, n_words.alias(f"{prefix}n_words"), F.col(f"{held}.word_chars").alias(f"{prefix}word_chars"),
-        F.regexp_count(source, F.lit(r"[#*$%&|<>]")).cast("bigint").alias(f"{prefix}n_symbols"),
-        _line_counts(F.col(text)).alias(f"{prefix}n_dup_lines"), repeated.alias(f"{prefix}n_repeat_words"),
-        F.col(f"{held}.score").alias(f"{prefix}score"), failed.alias(f"{prefix}base_failed"),
-        (~failed & (F.col(f"{held}.score") >= threshold)).alias(f"{prefix}kept"),
-    )
+    made = {
+        "n_words": n_words, "word_chars": F.col(f"{held}.word_chars"),
+        "n_symbols": F.regexp_count(source, F.lit(r"[#*$%&|<>]")).cast("bigint"), "n_dup_lines": _line_counts(F.col(text)),
+        "n_repeat_words": repeated, "score": F.col(f"{held}.score"), "base_failed": failed,
+        "kept": ~failed & (F.col(f"{held}.score") >= threshold),
+    }
+    return counted.select(*docs.columns, *[c.alias(fresh(docs, prefix + n)) for n, c in made.items()])
