@@ -14,7 +14,7 @@ SQL = entry.oracle_sql()
 CORPUS = re.compile(r"op\d+_|pipeline$")  # tested on their own, if they are there
 STREAMS = {"micro_batch", "fan_out", "bounded_table", "dedupe_overlap", "rolling_view", "event_time_windows",
            "file_replay_source", "mask_outages_stream_batches", "mask_outages_sink", "live_view", "live_view_kept", "incremental_append",
-           "windows_and_late_rows", "poll_new"}
+           "windows_and_late_rows", "poll_new", "frame_stream"}
 
 
 @pytest.fixture(scope="module")

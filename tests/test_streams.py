@@ -1,14 +1,16 @@
 """Streams on small files, run to their end."""
 
 import datetime
+from decimal import Decimal
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tickloom.operators.outages import mask_outages
 from tickloom.plans.view import view
 from tickloom.session import list_dir, scratch_path
-from tickloom.sources import recent, replay
+from tickloom.sources import frames, recent, replay
 from tickloom.streaming import live
 from tickloom.streaming.outages import mask_outages_stream, open_outages, outage_sink
 
@@ -284,3 +286,40 @@ def test_polls_read_on_from_the_mark(spark):
     later = recent.poll_new(spark.read.parquet(path), "ts", ["k", "id"], marks)
     assert "GreaterThanOrEqual(ts" in later._jdf.queryExecution().executedPlan().toString()
     assert {r["id"] for r in later.collect()} >= set(range(1001, 1010))
+
+
+def test_frames_go_on_where_they_stopped(spark):
+    day = datetime.datetime(2024, 1, 1)
+    rows = [(k, day + datetime.timedelta(hours=k) if k % 5 else None, Decimal(k) / 4, "clash" if k % 3 else None, [k]) for k in range(70)]
+    df = spark.createDataFrame(rows, "id long, at timestamp, price decimal(9,2), batch_id string, many array<long>")
+    stored, out, progress = (scratch_path(spark, n) for n in ("frames", "out", "progress"))
+    replay.write_frames(replay.replay_table(df, ["id"], 10, "2024-01-01", "1s").drop("replay_ts"), stored, ["id"])
+    seen = []
+
+    def sink(batch, number):
+        if number == 2 and len(seen) == 2:
+            seen.append("lost")
+            raise RuntimeError("lost")
+        seen.append((number, [r["frame"] for r in batch.select("frame").distinct().collect()]))
+        batch.write.mode("overwrite").parquet(f"{out}/{number}")
+
+    for turn in range(2):
+        query = live.micro_batch(frames.frame_stream(spark, stored), sink, progress, "0 seconds")
+        try:
+            query.processAllAvailable()
+        except StreamingQueryException:
+            assert turn == 0
+        finally:
+            query.stop()
+    assert seen == [(0, [0]), (1, [1]), "lost", *[(k, [k]) for k in range(2, 7)]]
+    back = spark.read.parquet(f"{out}/*")
+    assert back.count() == 70
+    assert {tuple(map(str, r)) for r in back.select(*df.columns).collect()} == {tuple(map(str, r)) for r in df.collect()}
+    assert {(r["id"] // 10, r["frame"]) for r in back.collect()} == {(k, k) for k in range(7)}
+    everything = frames.frame_stream(spark, stored, 0)
+    counts = []
+    live.micro_batch(everything, lambda b, n: counts.append(b.count()), scratch_path(spark, "p"), None).awaitTermination()
+    assert counts == [70]
+    none = frames.frame_stream(spark, scratch_path(spark, "nothing"), schema=df.schema)
+    live.micro_batch(none, lambda b, n: counts.append(b.count()), scratch_path(spark, "p"), None).awaitTermination()
+    assert counts in ([70], [70, 0])

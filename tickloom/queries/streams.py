@@ -10,7 +10,7 @@ from tickloom.queries.batch import OUTAGES_SQL, with_trigger
 from tickloom.queries.registry import mean_sql, money, query, table, view_sql
 from tickloom.queries.views import as_doubles
 from tickloom.session import scratch_path
-from tickloom.sources import recent, replay
+from tickloom.sources import frames, recent, replay
 from tickloom.streaming import live
 from tickloom.streaming.maintained import maintained_view
 from tickloom.streaming.outages import mask_outages_stream, outage_sink
@@ -189,6 +189,30 @@ def file_replay_source(spark, folder):
     return rows.select("event_id", "value", F.col("frame").cast("bigint"), F.col("batch_id").cast("bigint"))
 
 
+@query("""
+    WITH p AS (SELECT event_id, ts, value, row_number() OVER (ORDER BY ts, event_id) - 1 AS p, count(*) OVER () AS n FROM events)
+    SELECT event_id, ts, value, p // ((n + 5) // 6) AS frame, p // ((n + 5) // 6) // 2 AS batch_id FROM p""")
+def frame_stream(spark, folder):
+    """Two of six frames make a batch; the query is stopped after the first batch and started again."""
+    events = table(spark, folder, "events").select("event_id", "ts", "value")
+    framed = replay.replay_table(events, ["ts", "event_id"], -(-events.count() // 6) or 1, "2024-06-01", "250ms").drop("replay_ts")
+    stored, path, progress = scratch_path(spark, "frames"), scratch_path(spark, "out"), scratch_path(spark, "progress")
+    replay.write_frames(framed, stored, ["ts", "event_id"])
+    stream = frames.frame_stream(spark, stored, 2, schema=framed.schema)
+    live.micro_batch(stream, live.parquet_sink(path), progress, None).awaitTermination()
+    rest = live.micro_batch(stream, live.parquet_sink(path), progress, "0 seconds")
+    try:
+        rest.processAllAvailable()
+    finally:
+        rest.stop()
+    rows = spark.read.option("basePath", path).schema(batch_schema(stream)).parquet(path + "/batch_id=*")
+    return rows.select("event_id", "ts", "value", "frame", "batch_id")
+
+
+def batch_schema(stream):
+    return T.StructType([*stream.schema.fields, T.StructField("batch_id", T.LongType())])
+
+
 @query(OUTAGES_SQL)
 def mask_outages_stream_batches(spark, folder):
     """The masking of ``mask_outages`` over a stream in four batches."""
