@@ -235,6 +235,20 @@ def test_bpe_equals_the_library():
         bpe.STRETCH_PIECES = old
 
 
+def test_bpe_splits_by_the_same_unicode_as_the_library():
+    # Bordering characters of two bytes that share a token: where the split differs, so do the ids.
+    known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
+    encode = bpe.Encoder(RANKS, public_tokenizers.PATTERN)
+    for text in ["\U00018e48蜯", "\U00011dc8辻", "a\U00018e48蜯 \U00011de1\U00011de2x", " \u088f\u088fب1\U0001fa8e!"]:
+        assert np.frombuffer(encode(text), "<u4").tolist() == known.encode_ordinary(text)
+    # Over all code points: a piece is a letter, number or space alone, or it is not.
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    single = {bytes((b,)): b for b in range(256)}
+    for kind in (r"\p{L}", r"\p{N}", r"\s", r"[^\s\p{L}\p{N}]"):
+        found = bpe.Encoder(single, kind)(every)
+        assert found == np.array(tiktoken.Encoding(kind, pat_str=kind, mergeable_ranks=single, special_tokens={}).encode_ordinary(every), "<u4").tobytes()
+
+
 def test_any_ids_decode_as_a_stream():
     token = {rank: data for data, rank in RANKS.items()}
     decode, rng = bpe.Decoder(RANKS), random.Random(2)
