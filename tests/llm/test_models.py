@@ -1,5 +1,8 @@
 """Operators that learn: held-out accuracy on the given tables, and odd rows."""
 
+import random
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -166,3 +169,22 @@ def test_words_and_lines_of_long_texts_count_once():
         assert len(parts) > 1
         data = np.frombuffer(text.encode(), np.uint8)
         assert np.array_equal(quality_classifier.long_sums(parts), quality_classifier.sums(data, np.array([0, len(data)])))
+
+
+def test_training_takes_little_more_than_its_sample():
+    rng = random.Random(4)
+    texts = ["".join(f"{rng.randrange(1 << 50):x} " for _ in range(400)) for _ in range(300)]  # every word is new
+    labels = np.array([k % 3 == 0 for k in range(300)], float)
+    tracemalloc.start()
+    try:
+        model = toxicity.train(texts, labels, rounds=1, steps=2)
+        assert tracemalloc.get_traced_memory()[1] < 100e6
+    finally:
+        tracemalloc.stop()
+    old, toxicity.TRAIN_BLOCK = toxicity.TRAIN_BLOCK, 1 << 30
+    try:
+        whole = toxicity.train(texts, labels, rounds=1, steps=2)
+    finally:
+        toxicity.TRAIN_BLOCK = old
+    assert all(np.array_equal(model.weights[k], whole.weights[k]) for k in whole.weights)
+    assert np.allclose([model.slope, model.shift], [whole.slope, whole.shift], rtol=1e-4, atol=1e-4)

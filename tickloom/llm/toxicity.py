@@ -10,7 +10,7 @@ round, windows of clean documents as clean ones; the first guess goes by log odd
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,6 +33,7 @@ DIMENSIONS = 8  # of either
 HIDDEN = 8  # per direction
 ATTENTION = 8
 CACHED_WORDS = 150_000
+TRAIN_BLOCK = 1 << 13  # words, or windows, whose arrays training makes at a time: they would outgrow the sample many times
 TEXT_WORDS = 1 << 16  # a longer text is read in stretches of so many words, which overlap like windows
 
 
@@ -354,6 +355,17 @@ def _log_odds(sequences: list[np.ndarray], labels: np.ndarray, parts_of: Callabl
     return {k: np.log(r[1] / r[0]).astype(np.float32) for k, r in rates.items()}
 
 
+def _joined_parts(words: list[str], block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word rows, n-gram rows, and where the n-grams of each word start and end, made from a block of words at a time."""
+    word, gram, size = [], [], []
+    for a in range(0, len(words), block):
+        parts = word_parts(words[a:a + block])
+        word.append(parts.word)
+        gram.append(parts.gram)
+        size.append(np.bincount(parts.owner, minlength=len(parts.word)))
+    return np.concatenate(word), np.concatenate(gram), np.concatenate([[0], np.cumsum(np.concatenate(size))])
+
+
 def train(texts: list[str], labels: np.ndarray, rounds: int = 5, steps: int = 140, batch: int = 192, rate: float = 0.01, seed: int = 11) -> ToxicityModel:
     """Learn from documents with labels 0 and 1. Without both classes every text gets the share of toxic ones (0.0 for none)."""
     labels = np.asarray(labels, float)
@@ -367,22 +379,31 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 5, steps: int = 14
     del vocabulary
     index, lengths, of = cut(sequences)
     toxic = labels[of] > 0
-    every, count = word_parts(words), len(words)
+    count, block = len(words), TRAIN_BLOCK
+    word, gram, bounds = _joined_parts(words, block)
     del words
-    gram, bounds = every.gram, np.concatenate([[0], np.cumsum(np.bincount(every.owner, minlength=count))])
 
     def parts_of(rows: np.ndarray) -> Parts:
         size = bounds[rows + 1] - bounds[rows]
         owner = np.repeat(np.arange(len(rows)), size)
         place = np.repeat(bounds[rows] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        return Parts(every.word[rows], gram[place], owner, np.maximum(size, 1).astype(np.float32))
+        return Parts(word[rows], gram[place], owner, np.maximum(size, 1).astype(np.float32))
+
+    def blocks() -> Iterator[Parts]:
+        for a in range(0, count, block):
+            yield parts_of(np.arange(a, min(a + block, count)))
 
     odds = _log_odds(sequences, labels, parts_of)
     for name, start in odds.items():
         weights[name][:, 0] += np.float32(0.5) * start
     # The first guess at the window that makes a document toxic is the one with the most telling words.
-    telling = odds["word"][every.word] + np.bincount(every.owner, odds["gram"][every.gram], minlength=count) / every.count
-    spoken = np.where(np.arange(WINDOW) < lengths[:, None], np.maximum(telling, 0)[index], 0).sum(axis=1).astype(np.float32)
+    telling = np.maximum(np.concatenate([
+        odds["word"][p.word] + np.bincount(p.owner, odds["gram"][p.gram], minlength=len(p.word)) / p.count for p in blocks()
+    ]), 0)
+    spoken = np.concatenate([
+        np.where(np.arange(WINDOW) < lengths[a:a + block, None], telling[index[a:a + block]], 0).sum(axis=1).astype(np.float32)
+        for a in range(0, len(index), block)
+    ])
     best = worst(spoken, of, len(labels))
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in weights.items()}
     bad, clean, hard = np.flatnonzero(toxic & (spoken >= best[of])), np.flatnonzero(~toxic), np.flatnonzero(~toxic)
@@ -401,7 +422,8 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 5, steps: int = 14
                 v += 0.01 * (d * d - v)
                 weights[k] -= (pace * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-7)).astype(np.float32)
         tables = Tables(weights)
-        tables.add(word_vectors(weights, every))
+        for parts in blocks():
+            tables.add(word_vectors(weights, parts))
         logits = score_windows(tables, index, lengths)
         top = worst(logits, of, len(labels))
         bad = np.flatnonzero(toxic & (logits >= np.minimum(top[of], 2.0)))  # the worst of each text, and any that is plainly bad
